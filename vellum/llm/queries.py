@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from vellum.llm import mixing, url_filters
+from vellum.llm import mixing, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op3_mixing": mixing.op3_mixing,
+    "op4_warc": warc.op4_warc,
 }
 ORACLES = {
     "op1_url_filters": url_filters.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
 }
