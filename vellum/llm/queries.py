@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vellum.llm import mixing, url_filters, warc
+from vellum.llm import mixing, url_filters, warc, wavelet
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op3_mixing": mixing.op3_mixing,
     "op4_warc": warc.op4_warc,
+    "op7_token_ids": wavelet.op7_token_ids,
 }
 ORACLES = {
     "op1_url_filters": url_filters.OP1_SQL,
