@@ -65,3 +65,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def n_words(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def slices(batch, sizes, most: int):
+    """Cut an Arrow batch into runs of rows whose ``sizes`` sum to about ``most``; a larger row is a run of its own."""
+    first = total = 0
+    for k, size in enumerate(sizes):
+        if total and total + size > most:
+            yield batch.slice(first, k - first)
+            first, total = k, 0
+        total += size
+    if batch.num_rows > first:
+        yield batch.slice(first)

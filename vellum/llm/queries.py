@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vellum.llm import mixing, url_filters, warc, wavelet
+from vellum.llm import mixing, quality_rules, url_filters, warc, wavelet
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op3_mixing": mixing.op3_mixing,
     "op4_warc": warc.op4_warc,
     "op7_token_ids": wavelet.op7_token_ids,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
     "op1_url_filters": url_filters.OP1_SQL,
