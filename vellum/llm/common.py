@@ -6,6 +6,7 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def byte_sizes(column) -> list[int]:
+    """Bytes of each value of an Arrow column of strings or binaries; 0 for null."""
+    return [x or 0 for x in pc.binary_length(column).to_pylist()]
+
+
 def slices(batch, sizes, most: int):
     """Cut an Arrow batch into runs of rows whose ``sizes`` sum to about ``most``; a larger row is a run of its own."""
     first = total = 0

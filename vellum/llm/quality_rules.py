@@ -58,16 +58,12 @@ def judge(texts: list[str | None], model: dict) -> dict[str, np.ndarray]:
     }
 
 
-def _sizes(column) -> list[int]:
-    return [x or 0 for x in pa.compute.binary_length(column).to_pylist()]
-
-
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, the counts, ``base_failed, content_share, kept`` per row."""
 
     def run(batches):
         for b in batches:
-            for part in common.slices(b, _sizes(b.column(1)), BATCH_BYTES):
+            for part in common.slices(b, common.byte_sizes(b.column(1)), BATCH_BYTES):
                 got = judge(part.column(1).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in got.values()]], names=[doc_id, *got])
 
@@ -82,7 +78,7 @@ def keep(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in common.slices(b, _sizes(b.column(at)), BATCH_BYTES):
+            for part in common.slices(b, common.byte_sizes(b.column(at)), BATCH_BYTES):
                 yield part.filter(pa.array(judge(part.column(at).to_pylist(), model)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
@@ -93,7 +89,7 @@ def line_labels(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str
 
     def run(batches):
         for b in batches:
-            for part in common.slices(b, _sizes(b.column(1)), BATCH_BYTES):
+            for part in common.slices(b, common.byte_sizes(b.column(1)), BATCH_BYTES):
                 lines = crf.Lines([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
                 got = crf.viterbi(lines.x, lines.lengths(), model)
                 ids = part.column(0).take(pa.array(lines.line_doc))
