@@ -7,6 +7,7 @@ so a node with most of the links costs no more than its share of the rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if found == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = found
+
+
+def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links ``(i, j)`` among ``n`` things, as ``(thing, least thing of its component)`` of those that are not the least."""
+    least = np.arange(n)
+    while True:
+        m = np.minimum(least[i], least[j])
+        after = least.copy()
+        np.minimum.at(after, i, m)
+        np.minimum.at(after, j, m)
+        after = after[after]
+        if (after == least).all():
+            other = np.flatnonzero(least != np.arange(n))
+            return other, least[other]
+        least = after

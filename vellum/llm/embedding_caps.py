@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import common
-from vellum.llm.components import components
+from vellum.llm.components import components, stars
 
 #: Least inner product of a unit vector with a filter's direction.
 ALPHA = 0.40
@@ -120,27 +120,8 @@ def assign(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "vector").mapInArrow(run, "rep long, dim int, filter long")
 
 
-def forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in links.tolist():
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
-
-
 def verify(filter_id: int, cells: np.ndarray, reps: np.ndarray, counts: np.ndarray, x: np.ndarray, lists: list[np.ndarray], threshold: float):
-    """Links of one work item: ``(rep, links)`` arrays and spanning pairs."""
+    """Links of one work item: ``(rep, links)`` arrays and the two sides of a spanning forest."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     linked = unit @ unit.T >= threshold
     np.fill_diagonal(linked, False)
@@ -156,7 +137,8 @@ def verify(filter_id: int, cells: np.ndarray, reps: np.ndarray, counts: np.ndarr
         member[np.repeat(np.arange(len(touched)), [int((lists[k] < filter_id).sum()) for k in touched]), column] = 1
         linked[np.ix_(touched, touched)] &= ~(member @ member.T > 0)
     i, j = np.nonzero(np.triu(linked))
-    return reps[touched], (linked @ counts)[touched], forest(np.stack((reps[i], reps[j]), axis=1))
+    a, b = stars(i, j, len(reps))
+    return reps[touched], (linked @ counts)[touched], reps[a], reps[b]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", cell: int = CELL) -> DataFrame:
@@ -187,9 +169,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
             col = lambda k: b.column(k).combine_chunks()
             got = verify(b.column("filter")[0].as_py(), col("mine").to_numpy(), col("rep").to_numpy(), col("n").to_numpy().astype(float), _matrix(col("vector")), [np.array(f) for f in col("filters").to_pylist()], threshold)
             if got:
-                reps, links, pairs = got
+                reps, links, left, right = got
                 yield pa.RecordBatch.from_arrays([pa.array(reps), pa.nulls(len(reps), pa.int64()), pa.array(links.astype(np.int64))], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.nulls(len(pairs), pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.nulls(len(left), pa.int64())], schema=schema)
 
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
         key = None

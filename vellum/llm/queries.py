@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vellum.llm import embedding_caps, mixing, quality_rules, url_filters, warc, wavelet
+from vellum.llm import embedding_caps, mixing, quality_rules, simhash, url_filters, warc, wavelet
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op3_mixing": mixing.op3_mixing,
     "op4_warc": warc.op4_warc,
     "op7_token_ids": wavelet.op7_token_ids,
+    "op8_simhash": simhash.op8_simhash,
     "op9_embedding_caps": embedding_caps.op9_embedding_caps,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
