@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vellum.llm import embedding_caps, mixing, quality_rules, simhash, url_filters, warc, wavelet
+from vellum.llm import brown_lm, embedding_caps, mixing, quality_rules, simhash, url_filters, warc, wavelet
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_brown_lm": brown_lm.op2_brown_lm,
     "op3_mixing": mixing.op3_mixing,
     "op4_warc": warc.op4_warc,
     "op7_token_ids": wavelet.op7_token_ids,
