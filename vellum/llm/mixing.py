@@ -124,6 +124,21 @@ def mix(docs: DataFrame, *, budget: int | None = None, budget_share: tuple[int,
     return outside.select(*out).unionByName(inside.select(*out))
 
 
+def repeat(docs: DataFrame, **how) -> DataFrame:
+    """The mixture's rows: every row of ``docs`` as often as ``mix(docs, **how)`` uses it, with all its columns.
+
+    Numbers are joined by id, source and number of words, so rows that repeat an id keep their own; rows equal in all
+    three draw the larger of their numbers.
+    """
+    doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
+    source = how.get("source", "source")
+    plan = mix(docs, **how).groupBy("doc_id", "source", "n_tokens").agg(F.max("copies").alias("__copies"))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("n_tokens").alias("__n"), "__copies")
+    marked = docs.withColumns({"__a": F.col(doc_id).cast("long"), "__b": F.coalesce(F.col(source), F.lit("")), "__c": common.n_words(F.col(text))})
+    drawn = marked.join(plan, F.col("__a").eqNullSafe(F.col("__id")) & (F.col("__b") == F.col("__source")) & (F.col("__c") == F.col("__n")))
+    return drawn.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__k")).drop("__k")
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """All ``documents``: a mixture of as many words as six tenths of the tables', whose entropy over the sources is 0.995
     of the uniform one. Large sources are drawn in part, the smallest may repeat."""
