@@ -41,10 +41,10 @@ GRAM = 20
 #: Grams of a window.
 SPAN = LENGTH - GRAM + 1
 BLOCK_BYTES = 4 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 HOT_DOCS = 10_000
 #: Bytes of text for each shard of the first two exchanges.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 NULL_ID = (1 << 63) - 1
 
 
@@ -141,57 +141,59 @@ class Contexts:
 def smaller_elsewhere(route: np.ndarray, size: np.ndarray, least: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For every window of every context whether a context with a smaller least id holds the same window.
 
-    Contexts of one route lie together in batches, whose suffix arrays find the equal windows.
+    Equal contexts are one, with the least of their ids. Where a route has several different ones, they lie together in
+    a batch, whose suffix array finds the equal windows; the windows of a route's only context stand nowhere else.
     """
-    lengths = size + LENGTH - 1
-    begin = np.concatenate(([0], np.cumsum(lengths)))
-    bit = np.concatenate(([0], np.cumsum(size)))
-    out = np.zeros(bit[-1], bool)
-    order = np.argsort(route, kind="stable")
-    new = np.flatnonzero(np.concatenate(([True], route[order][1:] != route[order][:-1])))
-    filled = np.concatenate(([0], np.cumsum(lengths[order])))
-    first = 0
-    for k in range(1, len(new) + 1):
-        end = new[k] if k < len(new) else len(order)
-        if k == len(new) or filled[new[k + 1] if k + 1 < len(new) else len(order)] - filled[first] > BATCH_BYTES:
-            _batch(order[first:end], lengths, size, begin, bit, least, data, out)
-            first = end
-    return out
-
-
-def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-
-
-def _batch(which, lengths, size, begin, bit, least, data, out) -> None:
-    if len(which) < 2:
-        return
-    # equal contexts are one, with the least of their ids
-    raw = data[_ranges(begin[which], lengths[which])]
-    at = np.concatenate(([0], np.cumsum(lengths[which])))
-    blob = raw.tobytes()
+    at = np.concatenate(([0], np.cumsum(size + LENGTH - 1))).tolist()
+    blob = data.tobytes()
     index: dict[bytes, int] = {}
-    same = np.array([index.setdefault(blob[a:b], len(index)) for a, b in zip(at, at[1:], strict=False)])
+    same = np.array([index.setdefault(blob[a:b], len(index)) for a, b in zip(at, at[1:], strict=False)], np.int64)
     lowest = np.full(len(index), NULL_ID, np.int64)
-    np.minimum.at(lowest, same, least[which])
+    np.minimum.at(lowest, same, least)
     one = np.unique(same, return_index=True)[1]
-    text = np.frombuffer(b"".join(index), np.uint8)
-    n_windows = size[which][one]
-    place = np.concatenate(([0], np.cumsum(lengths[which][one])))[:-1]
-    owner = np.full(len(text), -1)
-    starts = _ranges(place, n_windows)
-    owner[starts] = np.repeat(np.arange(len(one)), n_windows)
+    texts, n_windows, of = list(index), size[one], route[one]
+    bit = np.concatenate(([0], np.cumsum(n_windows)))
+    smallest = np.repeat(lowest, n_windows)  # of each window of each different context
+    order = np.argsort(of, kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1]))) if len(of) else np.zeros(0, np.int64)
+    batch, held = [], 0
+    for a, b in zip(new, np.append(new[1:], len(order)), strict=True):
+        if b - a > 1:
+            group = order[a:b]
+            batch.append(group)
+            held += int((n_windows[group] + LENGTH - 1).sum())
+            if held > BATCH_BYTES:
+                _batch(np.concatenate(batch), texts, n_windows, lowest, bit, smallest)
+                batch, held = [], 0
+    if batch:
+        _batch(np.concatenate(batch), texts, n_windows, lowest, bit, smallest)
+    return smallest[_ranges(bit[same], size)] < np.repeat(least, size)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + n - 1`` of all pairs, one after the other."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+
+
+def _batch(which: np.ndarray, texts: list[bytes], n_windows: np.ndarray, lowest: np.ndarray, bit: np.ndarray, smallest: np.ndarray) -> None:
+    """Lower ``smallest`` for the windows of these contexts to the least id of all that hold an equal window."""
+    text = np.frombuffer(b"".join([texts[k] for k in which.tolist()]), np.uint8)
+    n = n_windows[which]
+    place = np.concatenate(([0], np.cumsum(n + LENGTH - 1)))[:-1]
+    starts = _ranges(place, n)
+    window = np.full(len(text), -1, np.int64)
+    window[starts] = np.arange(len(starts))
     order = suffix_array(text, LENGTH)
-    order = order[owner[order] >= 0]  # windows; other suffixes run into the next context
+    order = order[window[order] >= 0]  # windows; other suffixes run into the next context
     heads = np.flatnonzero(permuted_prefixes(text, order, LENGTH)[order] < LENGTH)
     heads = np.unique(np.append(0, heads))
+    mine = window[order]
     group = np.zeros(len(order), np.int64)
     group[heads[1:]] = 1
-    group = np.cumsum(group)
-    smallest = np.full(len(text), NULL_ID, np.int64)
-    smallest[order] = np.minimum.reduceat(lowest[owner[order]], heads)[group]
-    window_of = _ranges(place[same], size[which])
-    out[_ranges(bit[which], size[which])] = smallest[window_of] < np.repeat(least[which], size[which])
+    owner = np.repeat(lowest[which], n)
+    out = np.empty(len(starts), np.int64)
+    out[mine] = np.minimum.reduceat(owner[mine], heads)[np.cumsum(group)]
+    smallest[_ranges(bit[which], n)] = out
 
 
 def coverage(n: int, starts: np.ndarray) -> np.ndarray:
