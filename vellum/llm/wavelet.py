@@ -14,6 +14,7 @@ that repeat a doc_id are documents of their own, ordered by the checksum of thei
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -56,6 +57,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
