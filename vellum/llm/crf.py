@@ -33,10 +33,21 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+_held: dict[int, np.ndarray] = {}
+#: Powers of a base that a worker keeps.
+HELD_POWERS = 1 << 22
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.multiply.accumulate(p)
+    """``base ** k`` modulo 2 ** 64 for k below n."""
+    held = _held.get(int(base), np.zeros(0, np.uint64))
+    if len(held) < n:
+        held = np.full(max(n, 1 << 16), base, np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= HELD_POWERS:
+            _held[int(base)] = held
+    return held[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

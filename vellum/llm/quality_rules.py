@@ -38,11 +38,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     head = F.array_join(F.slice(F.split(F.col("__text"), "\n"), 1, SAMPLE_LINES), "\n")
     found = rows.where("__text IS NOT NULL").select("__id", "__quality", F.substring(head, 1, 40_000).alias("__text")).groupBy("__id").agg(F.min(F.struct("__quality", "__text")).alias("r")).select("__id", "r.*").collect()
     found.sort(key=lambda r: r["__id"])
-    lines = crf.Lines([r["__text"].encode() for r in found])
-    if not len(lines.x) or len({r["__quality"] for r in found}) < 2:
+    if len({r["__quality"] for r in found}) < 2:
         return KEEP_ALL
-    y = np.array([r["__quality"] for r in found])[lines.line_doc]
-    return crf.train(lines.x, lines.lengths(), y)
+    parts = [crf.Lines([r["__text"].encode() for r in found[a : a + 100]]) for a in range(0, len(found), 100)]
+    x, lengths = np.concatenate([p.x for p in parts]), np.concatenate([p.lengths() for p in parts])
+    return crf.train(x, lengths, np.repeat([r["__quality"] for r in found], lengths)) if len(x) else KEEP_ALL
 
 
 def judge(texts: list[str | None], model: dict) -> dict[str, np.ndarray]:
