@@ -40,7 +40,7 @@ LENGTH = 50
 GRAM = 20
 #: Grams of a window.
 SPAN = LENGTH - GRAM + 1
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BATCH_BYTES = 1 << 19
 HOT_DOCS = 10_000
 #: Bytes of text for each shard of the first two exchanges.
