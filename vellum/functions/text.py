@@ -15,6 +15,8 @@ from pyspark.sql.types import StringType
 
 from vellum.functions import fixed
 
+#: White space as Python sees it: Unicode's, and four separators that Java leaves out.
+SPACE = r"[\s\x{1c}-\x{1f}]"
 #: The line ends that Python's ``splitlines`` knows.
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
@@ -33,11 +35,11 @@ def text_of(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+\z", "")
+    return F.regexp_replace(c, rf"(?U){SPACE}+\z", "")
 
 
 def lines(c: Column) -> Column:
@@ -81,7 +83,7 @@ def normalize_multiline(c: Column) -> Column:
 
 def visible_chars(c: Column) -> Column:
     """Characters that are not white space."""
-    return F.length(F.regexp_replace(text_of(c), r"(?U)\s+", ""))
+    return F.length(F.regexp_replace(text_of(c), f"(?U){SPACE}+", ""))
 
 
 def contains_cjk(c: Column) -> Column:

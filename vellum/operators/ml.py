@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 def char_ngrams(c: Column, longest: int = 2) -> Column:
     """All character n-grams of up to ``longest`` characters of the lower-case text with single spaces."""
-    flat = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s\s+", " ")
-    grams = [F.when(F.length(flat) >= n, F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda k, n=n: F.substring(flat, k, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
-    return F.concat(*grams)
+    chars = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s\s+", " "), ""), lambda x: x != "")
+    grams, out = chars, chars
+    for n in range(2, longest + 1):  # each gram and the character behind it
+        size = F.greatest(F.size(chars) - n + 1, F.lit(0))
+        grams = F.zip_with(F.slice(grams, F.lit(1), size), F.slice(chars, n, size), lambda a, b: F.concat(a, b))
+        out = F.concat(out, grams)
+    return out
 
 
 def train_text_classifier(labelled: DataFrame, text: str = "text", label: str = "label", smoothing: float = 1.0) -> PipelineModel:

@@ -1,18 +1,8 @@
-"""The registered queries over the relational tables and their SQL."""
+"""All registered queries of the library and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from vellum.plans import texts  # noqa: F401  registers its queries
+from vellum.plans.relational import ORACLES, QUERIES
 
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"))
-
-
-QUERIES = {"q_quality_report": q_quality_report}
-ORACLES = {"q_quality_report": "SELECT source, count(*) AS n_docs FROM documents GROUP BY source"}
+__all__ = ["ORACLES", "QUERIES"]
