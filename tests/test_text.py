@@ -50,3 +50,4 @@ def test_tables_and_ids(spark):
     one = spark.range(1).select(T.stable_id("x", F.lit("a"), F.lit(1)).alias("a"), T.rewrite_query(F.lit("怎么报销保险费用？")).alias("q"), T.word_set(F.lit("Ab ab 中文")).alias("w"), T.split_env_list(F.lit("a, ,b")).alias("e")).first()
     assert len(one.a) == 26 and one.q == "保险费用报销流程是什么？" and one.w == ["ab", "中", "文"] and one.e == ["a", "b"]
     assert rules.hard_split("", 5) == [] and all(rules.tokens(p) <= 60 for p in rules.hard_split("字" * 500, 50))
+    assert all(rules.tokens(p) <= 100 for p in rules.hard_split("a " * 2000 + "dense" * 400, 100))

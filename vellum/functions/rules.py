@@ -157,7 +157,8 @@ def sentences(s: str) -> list[str]:
 
 
 def hard_split(s: str, most: int) -> list[str]:
-    """Pieces of about ``most`` tokens, cut behind a full stop, semicolon, newline or space in a piece's second half."""
+    """Pieces of up to ``most`` tokens, cut behind a full stop, semicolon, newline or space in a piece's second half. A
+    piece that is denser than the whole and so too large is cut again; pieces of 40 characters stay."""
     n = tokens(s)
     if n <= most:
         return [s] if s else []
@@ -169,7 +170,7 @@ def hard_split(s: str, most: int) -> list[str]:
             end = back + 1 if back > at + step // 2 else end
         out.append(s[at:end].strip())
         at = end
-    return [x for x in out if x]
+    return [q for x in out if x for q in (hard_split(x, most) if len(x) > 40 and tokens(x) > most else [x])]
 
 
 def markdown(rows: list[list[str]]) -> str:
