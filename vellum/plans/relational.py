@@ -253,10 +253,10 @@ def q_matrix_axis_stats(spark, d):
     return matrix.reduce(m, 0).select("j", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), "least", "greatest")
 
 
-@query("SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 4) AS v FROM (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) a JOIN (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) b ON a.vec_id = b.vec_id WHERE a.j < 8 AND b.j < 8 GROUP BY 1, 2")
+@query("SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 4) AS v FROM (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) a JOIN (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) b ON a.vec_id = b.vec_id GROUP BY 1, 2")
 def q_matrix_gram(spark, d):
-    """the product of the transposed matrix (its first eight columns, as the feature) with itself."""
-    m = matrix.from_arrays(read(spark, d, "embeddings"), "vec_id", "embedding").where("j < 8")
+    """the product of the transposed matrix with itself."""
+    m = matrix.from_arrays(read(spark, d, "embeddings"), "vec_id", "embedding")
     return matrix.matmul(matrix.transpose(m), m).select("i", "j", F.round("v", 4).alias("v"))
 
 
