@@ -46,7 +46,7 @@ GROUPS = TOP + HASHED + 1
 SWEEPS = 3
 ADD = 0.5
 #: Tokens after which a block is closed.
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 3_000_000
 END_HASH = 0
 
 
@@ -81,7 +81,7 @@ class Block:
         number = self.number
         for w in set(tokens).difference(number):
             number[w] = len(number)
-        self.parts.append(np.array([*[number[w] for w in tokens], -1], np.int64))
+        self.parts.append(np.array([*[number[w] for w in tokens], -1], np.int32))
         self.ids.append(doc_id)
         self.lengths.append(len(tokens) + 1)
         self.held.append(zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT)
@@ -90,10 +90,11 @@ class Block:
     def row(self, block: int) -> dict:
         """The block's row; the end of a text is word 0."""
         ids = np.concatenate(self.parts) + 1
+        self.parts.clear()
         train = np.repeat(~np.array(self.held), self.lengths)
         size = len(self.number) + 1
         order = np.argsort(-np.bincount(ids[ids > 0], minlength=size)[1:], kind="stable") + 1
-        rank = np.zeros(size, np.int64)
+        rank = np.zeros(size, np.int32)
         rank[order] = np.arange(1, size)
         hashes = np.concatenate(([END_HASH], word_hashes(list(self.number))))[np.concatenate(([0], order))]
         ids = rank[ids]
