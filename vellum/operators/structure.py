@@ -211,7 +211,7 @@ def merge_sections(u: DataFrame, config: ParserConfig) -> DataFrame:
     return coalesce(numbered.withColumn("section_seq", F.col("__g")).drop("__g"), config)
 
 
-def sections(u: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def sections(u: DataFrame) -> DataFrame:
     """A row per section: id, title, path, pages, roles, whether it is indexed and whether it is a table of contents."""
     grouped = u.groupBy("document_id", "section_seq").agg(
         F.first("heading_path").alias("heading_path"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"),
