@@ -35,8 +35,10 @@ SHARD_IDS = 1 << 20
 #: Bits of a block of a plane.
 BLOCK = 1 << 16
 #: Distinct words whose ids a worker keeps.
-MEMO = 400_000
+MEMO = 1_000_000
 MAGIC = b"VWM1"
+#: Signs that often stand behind a word.
+PUNCTUATION = ".,;:!?|"
 #: White space besides the space and the newline, in Python's sense or Unicode's.
 OTHER_SPACE = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
@@ -56,10 +58,14 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)  # for pieces that the pattern would leave whole
+        self.plain.encode_special_tokens = True
+        self.plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.newline = self.raw("\n")
@@ -79,17 +85,34 @@ class Encoder:
                 cut.append(text.replace("\n", " \n").replace(" ", "\0 ").split("\0") if "\0" not in text else ())
                 if not cut[-1]:
                     whole.append(k)
-        new = [w for w in set(chain.from_iterable(cut)) if w not in memo]
-        # a newline piece is " \n" and what follows on its line
-        for w, e in zip(new, self.tok.encode_batch_fast([w[2:] if w[:2] == " \n" else w for w in new], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=self.dtype).tobytes()
-            memo[w] = self.newline + ids if w[:2] == " \n" else ids
+        self._learn([w for w in set(chain.from_iterable(cut)) if w not in memo])
         out = [b"".join([memo[w] for w in pieces]) for pieces in cut]
         for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, dtype=self.dtype).tobytes()
         return out
 
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of new pieces. A piece of letters (with a space before them) and punctuation behind them is
+        two pieces of the tokenizer's pattern, so both are encoded on their own, the letters without the pattern."""
+        memo, plan, letters, others = self.memo, [], set(), set()
+        for w in pieces:
+            core = w[2:] if w[:2] == " \n" else w
+            stem = core.rstrip(PUNCTUATION)
+            parts = (stem, core[len(stem) :]) if stem.removeprefix(" ").isalpha() else (core,)
+            plan.append((w, core is not w, parts))
+            if len(parts) == 2:
+                letters.add(stem)
+            others.add(parts[-1])
+        for tok, names in ((self.plain, letters), (self.tok, others - letters)):
+            todo = [x for x in names if x not in memo]
+            for x, e in zip(todo, tok.encode_batch_fast(todo, add_special_tokens=False), strict=True):
+                memo[x] = np.array(e.ids, dtype=self.dtype).tobytes()
+        for w, newline, parts in plan:
+            ids = memo[parts[0]] + memo[parts[1]] if len(parts) == 2 else memo[parts[0]]
+            memo[w] = self.newline + ids if newline else ids
+
+
 _encoders: dict[str, Encoder] = {}
 
 
