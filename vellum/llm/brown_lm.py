@@ -314,6 +314,7 @@ def perplexity_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     everywhere = Window.partitionBy("h").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     known = words.select("block", "pos", "h", F.sum("c").over(everywhere).alias("total"), (F.row_number().over(Window.partitionBy("h").orderBy("block")) == 1).alias("first"))
     known = common.table(known, f"{path}/known")
+    common.remove(spark, f"{path}/words")
     once = known.where("first AND total > 0")
     is_word = F.col("h") != END_HASH
     few = is_word & (F.col("total") < MIN_COUNT)
@@ -323,7 +324,7 @@ def perplexity_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     frequent = known.where(is_word & ~few)
     with common.settings(spark, spark__sql__parquet__columnarReaderBatchSize="4"):
         vectors = common.table(gather(common.table(contexts(blocks, frequent, {h: k for k, h in enumerate(most[:TOP])}), f"{path}/contexts")), f"{path}/vectors")
-    common.remove(spark, f"{path}/contexts", f"{path}/words")
+    common.remove(spark, f"{path}/contexts")
     classes = cluster(vectors, most[:CLASSES], path)
     sizes = {r["class"]: r["n"] for r in once.join(classes, "h").groupBy("class").agg(F.sum("total").alias("n")).collect()}
     mass = [float(sizes.get(k, 0)) for k in range(CLASSES)] + [float(rare), float(ends)]

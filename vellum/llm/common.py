@@ -41,7 +41,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
 def table(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as a table in shared storage and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
