@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 1. ``quality``: documents that the base rules or the line labels reject go.
-2. ``near_duplicates``: one document of each SimHash group stays, the one with the least doc_id.
+2. ``near_duplicates``: one document of each group of near copies (five-word shingles, similarity 0.8) stays, the one with
+   the least doc_id.
 3. ``repeats``: bytes of 50-byte strings that also start in a document with a smaller id are cut out of the texts.
 4. ``mixture``: sources are raised towards equal weights; no document is dropped, those of small sources repeat.
 5. ``pieces``: every text as SentencePiece ids.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import common, mixing, quality_rules, sentencepiece_scan, simhash, suffix_dedup
+from vellum.llm import common, mixing, near_copies, quality_rules, sentencepiece_scan, suffix_dedup
 
 #: Passes over its own documents that the mixture lets a source make at most.
 MAX_PASSES = 2.0
@@ -26,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
