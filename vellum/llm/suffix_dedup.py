@@ -135,7 +135,7 @@ class Contexts:
             if a < b:
                 lengths = self.stop_first[a:b] - self.first[a:b]
                 at = np.repeat(self.first[a:b] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-                yield s, self.route[a:b].tobytes(), self.size[a:b].astype("<u2").tobytes(), self.least[a:b].tobytes(), t.buf[at].tobytes()
+                yield s, self.route[a:b].tobytes(), self.size[a:b].astype("<u4").tobytes(), self.least[a:b].tobytes(), t.buf[at].tobytes()
 
 
 def smaller_elsewhere(route: np.ndarray, size: np.ndarray, least: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -264,9 +264,9 @@ def _mark_anchors(group: pa.Table) -> pa.Table:
 def _mark_windows(group: pa.Table) -> pa.Table:
     """The second answer: a bit per window of each block's contexts."""
     join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
-    route, size, least, data = join("routes", "<u8"), join("sizes", "<u2").astype(np.int64), join("least", "<i8"), join("data", np.uint8)
+    route, size, least, data = join("routes", "<u8"), join("sizes", "<u4").astype(np.int64), join("least", "<i8"), join("data", np.uint8)
     bits = smaller_elsewhere(route, size, least, data)
-    n_windows = [int(np.frombuffer(x, "<u2").sum()) for x in group.column("sizes").to_pylist()]
+    n_windows = [int(np.frombuffer(x, "<u4").sum()) for x in group.column("sizes").to_pylist()]
     return pa.table({"block": group.column("block"), "shard": group.column("shard"), "bits": pa.array([np.packbits(y).tobytes() for y in np.split(bits, np.cumsum(n_windows)[:-1])], pa.binary())})
 
 
