@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +33,17 @@ from vellum.llm.storage import open_fs
 
 #: Ids of a shard, about.
 SHARD_IDS = 1 << 20
+#: Documents of a range of ids, at most on average.
+RANGE_ROWS = 50_000
 #: Bits of a block of a plane.
 BLOCK = 1 << 16
 #: Distinct words whose ids a worker keeps.
 MEMO = 1_000_000
 MAGIC = b"VWM1"
+#: Bytes of text that are encoded together, about.
+BATCH_BYTES = 8 << 20
+#: New words that go to the tokenizer in one call.
+JOINED = 500
 #: Signs that often stand behind a word.
 PUNCTUATION = ".,;:!?|"
 #: White space besides the space and the newline, in Python's sense or Unicode's.
@@ -52,8 +59,9 @@ class Encoder:
     """Ids of whole texts. Words between single spaces and newlines are encoded once and remembered.
 
     The tokenizer's pattern lets a piece hold a space only as its first character or in a run of white space, so a
-    text without such runs may be cut before every single space and around every newline. Other texts go to the
-    tokenizer as they are.
+    text without such runs may be cut before every single space and around every newline. Other texts, and texts that
+    hold one of the tokenizer's added tokens, go to the tokenizer as they are. A word of letters and the punctuation
+    behind it are two pieces of the pattern, so the letters are encoded without it and remembered on their own.
     """
 
     def __init__(self, path: str):
@@ -62,55 +70,95 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(path)  # for pieces that the pattern would leave whole
-        self.plain.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)  # for letters, which the pattern would leave whole
         self.plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
+        self.memo: dict[str, bytes] = {}  # a word stands for itself with a space before it, or behind a newline without
+        self.tails = {"": b""}
         self.newline = self.raw("\n")
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, cut, whole = self.memo, [], []
-        for k, text in enumerate(texts):
-            if has_runs(text):
-                whole.append(k)
-                cut.append(())
-            else:  # each piece with its space, a newline as a piece of its own
-                cut.append(text.replace("\n", " \n").replace(" ", "\0 ").split("\0") if "\0" not in text else ())
-                if not cut[-1]:
-                    whole.append(k)
-        self._learn([w for w in set(chain.from_iterable(cut)) if w not in memo])
-        out = [b"".join([memo[w] for w in pieces]) for pieces in cut]
-        for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
+        whole = [has_runs(t) or any(x in t for x in self.added) for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        some = [k for k, w in enumerate(whole) if w]
+        for k, e in zip(some, self.tok.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, dtype=self.dtype).tobytes()
+        rest = [k for k, w in enumerate(whole) if not w]
+        if rest:
+            for k, ids in zip(rest, self._cut([texts[k] for k in rest]), strict=True):
+                out[k] = ids
         return out
 
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that may be cut at every space and newline."""
+        pieces = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        first = pieces.offsets.to_numpy()
+        coded = pieces.values.dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = pieces.values.take(pa.array(first[:-1]))  # have no space before them: as behind a newline, without it
+        words = self._words(coded.dictionary)
+        known = self._words(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), heads, pa.scalar("", pa.large_string())), newline=b"")
+        which[first[:-1]] = len(words) + np.arange(len(heads))
+        words += known
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // self.dtype.itemsize
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(words), self.dtype)[np.repeat(begins[which] - (ends - n), n) + np.arange(ends[-1])]
+        cuts = np.concatenate(([0], ends))[first].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _words(self, words: pa.Array, newline: bytes | None = None) -> list[bytes]:
+        """The ids of distinct words, each with a space before it, or behind its newline (given as ``newline``)."""
+        newline = self.newline if newline is None else newline
+        below = pc.starts_with(words, "\n")
+        stems = pc.utf8_rtrim(words, characters=PUNCTUATION)
+        letters = pc.utf8_is_alpha(pc.utf8_ltrim(stems, characters="\n"))
+        keys = pc.if_else(letters, stems, words).dictionary_encode()
+        names = keys.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [self.memo.get(k) for k in names]
+        if None in found:
+            self._learn([k for k, ids in zip(names, found, strict=True) if ids is None])
+            found = [self.memo[k] for k in names]
+        out = [found[k] for k in keys.indices.to_numpy(zero_copy_only=False).tolist()]
+        tail = np.where(letters.to_numpy(zero_copy_only=False), pc.binary_length(words).to_numpy() - pc.binary_length(stems).to_numpy(), 0)
+        ended = np.flatnonzero(tail)
+        spelt = [w[-n:] for w, n in zip(words.take(pa.array(ended)).to_numpy(zero_copy_only=False).tolist(), tail[ended].tolist(), strict=True)]
+        for x in set(spelt).difference(self.tails):
+            self.tails[x] = self.raw(x)
+        for k, x in zip(ended.tolist(), spelt, strict=True):
+            out[k] += self.tails[x]
+        for k in np.flatnonzero(below.to_numpy(zero_copy_only=False)).tolist() if newline else ():
+            out[k] = newline + out[k]
+        return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of new pieces. A piece of letters (with a space before them) and punctuation behind them is
-        two pieces of the tokenizer's pattern, so both are encoded on their own, the letters without the pattern."""
-        memo, plan, letters, others = self.memo, [], set(), set()
-        for w in pieces:
-            core = w[2:] if w[:2] == " \n" else w
-            stem = core.rstrip(PUNCTUATION)
-            parts = (stem, core[len(stem) :]) if stem.removeprefix(" ").isalpha() else (core,)
-            plan.append((w, core is not w, parts))
-            if len(parts) == 2:
-                letters.add(stem)
-            others.add(parts[-1])
-        for tok, names in ((self.plain, letters), (self.tok, others - letters)):
-            todo = [x for x in names if x not in memo]
-            for x, e in zip(todo, tok.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-                memo[x] = np.array(e.ids, dtype=self.dtype).tobytes()
-        for w, newline, parts in plan:
-            ids = memo[parts[0]] + memo[parts[1]] if len(parts) == 2 else memo[parts[0]]
-            memo[w] = self.newline + ids if newline else ids
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of new words. Letters behind a space go many to a call: the pattern parts them, and in the
+        ids a word begins where a piece begins with a space."""
+        letters = pc.utf8_is_alpha(pa.array(words, pa.large_string())).to_numpy(zero_copy_only=False).tolist()
+        many = [w for w, is_ in zip(words, letters, strict=True) if is_]
+        joined = [" " + " ".join(many[a : a + JOINED]) for a in range(0, len(many), JOINED)]
+        found = [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)]
+        if found:
+            flat = np.concatenate(found)
+            begins = (np.append(np.flatnonzero(self.spaced[flat]), len(flat)) * self.dtype.itemsize).tolist()
+            raw = flat.tobytes()
+            self.memo.update(zip(many, [raw[a:b] for a, b in zip(begins, begins[1:], strict=False)], strict=True))
+        rest = [w for w, is_ in zip(words, letters, strict=True) if not is_]
+        below = pc.utf8_is_alpha(pc.utf8_ltrim(pa.array(rest, pa.large_string()), characters="\n")).to_numpy(zero_copy_only=False).tolist()
+        for tok, wanted in ((self.plain, True), (self.tok, False)):
+            names = [w for w, is_ in zip(rest, below, strict=True) if is_ == wanted]
+            spelt = [w[1:] if w[:1] == "\n" else " " + w for w in names]
+            for w, e in zip(names, tok.encode_batch_fast(spelt, add_special_tokens=False), strict=True):
+                self.memo[w] = np.array(e.ids, self.dtype).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -258,16 +306,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, do
     """Encode every text, append ``end_id``, write shards under ``path``; the manifest ``path, part, seq, n_ids, start``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = common.shuffle_partitions(spark)
+    n = max(common.shuffle_partitions(spark), -(-rows.count() // RANGE_ROWS))
     bounds = rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("at")).first()["at"] or []
     bounds = sorted(set(bounds))
 
     def encode(batches):
         enc, at = encoder(tokenizer), np.array(bounds, np.int64)
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
+        for b in chain.from_iterable(common.slices(x, common.byte_sizes(x.column(1)), BATCH_BYTES) for x in batches):
             ids = b.column(0).to_pylist()
-            data = [x + end for x in enc.batch(b.column(1).to_pylist())]
+            data = [x + end for x in enc.batch(b.column(1).to_numpy(zero_copy_only=False).tolist())]
             part = np.searchsorted(at, np.array([-(1 << 63) if i is None else i for i in ids], np.int64), side="left")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "part", "sum", "ids"])
 
@@ -304,7 +352,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, do
             yield flush()
 
     files = common.table(placed.mapInArrow(write, "path string, part int, seq long, n_ids long"), f"{path}.manifest")
-    by_part = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per range, as many as shuffle partitions at most
+    by_part = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per range
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begin = by_part.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -340,6 +388,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op7_token_ids(spark, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` as token ids in wavelet shards, read back from them."""
     path = common.workdir(spark, "ids")
-    with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+    with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="4000"):
         manifest = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_path())
     return read_shards(manifest, with_ids=False)
