@@ -27,6 +27,16 @@ def test_entries_hold_from_their_day_until_the_next(spark):
     assert url_filters.url_filter(captures.limit(0), entries).count() == 0 and url_filters.url_filter(captures, entries.limit(0)).where("NOT kept").count() == 0
 
 
+def test_paths_keep_their_case_and_long_hosts_match(spark):
+    entries = spark.createDataFrame([("l", "block", "A.example.COM/EN", "add", "2021-01-01"), ("l", "block", "example.net", "add", "2021-01-01")], "list_name string, kind string, key string, action string, effective_date string")
+    day = datetime.date(2021, 5, 5)
+    long_host = "x" * 60 + "." + ".".join(["y" * 60] * 5) + ".example.net"
+    captures = spark.createDataFrame([(1, "http://a.example.com/EN/x", day), (2, "http://a.example.com/en/x", day), (3, f"http://{long_host}/", day)], "page_id long, url string, fetched_on date").withColumns({"__meta": F.lit("m"), "Host": F.lit("clash"), "best": F.lit(1), "key": F.lit("k")})
+    got = url_filters.url_filter(captures, entries)
+    assert got.columns == ["page_id", "url", "fetched_on", "__meta", "best", "key", "host", "n_active", "rule_key", "rule_list", "kept"]
+    assert {(r.page_id, r.kept, r.rule_key, r["__meta"]) for r in got.collect()} == {(1, False, "a.example.com/EN", "m"), (2, True, None, "m"), (3, False, "example.net", "m")}
+
+
 def test_mixture_keeps_its_budget(spark):
     d = docs(spark, 200)
     got = mixing.mix(d, budget_share=(6, 10), entropy_share=0.97, block_tokens=300).collect()

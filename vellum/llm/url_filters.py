@@ -1,7 +1,7 @@
 """URL filters: dated list entries as validity intervals, joined as of the time of each capture.
 
 Entries ``(list_name, kind, key, action, effective_date)`` come in date order or not. ``key`` is a host suffix
-(``example.com``) or a host and its first path segment (``a.example.com/en``); ``action`` is ``add`` or ``remove``;
+(``example.com``, in any case) or a host and its first path segment (``a.example.com/en``, whose case counts); ``action`` is ``add`` or ``remove``;
 ``kind`` is ``block`` or ``allow``. An entry holds from its day until the next entry of the same list, kind and key.
 
 Everything is DataFrame expressions. The verdict depends only on the site (host and first path segment) and the day,
@@ -21,9 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Longest host name that DNS allows; a longer one is matched only as a whole.
-MAX_HOST = 253
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and final dot; null where there is none."""
@@ -39,16 +36,21 @@ def segment_of(url: Column) -> Column:
 def keys_of(host: Column, segment: Column) -> Column:
     """The list keys that apply to a site: every suffix of the host at a dot, and the host with its first segment."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = F.when(F.length(host) <= MAX_HOST, suffixes).otherwise(F.array(host))
+    keys = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     return F.when(segment == "", keys).otherwise(F.array_append(keys, F.concat(host, F.lit("/"), segment)))
 
 
+def entry_key(key: Column) -> Column:
+    """An entry's key with its host in lower case; the path segment keeps its case, as paths do."""
+    host = F.substring_index(key, "/", 1)
+    return F.concat(F.lower(host), F.substring(key, F.length(host) + 1, F.length(key)))
+
+
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """``key, intervals array<struct<valid_from, valid_to, kind, list_name>>``: one row per key; ``valid_to`` is exclusive."""
     day = (
         entries.where("key IS NOT NULL AND effective_date IS NOT NULL AND action IN ('add', 'remove')")
-        .groupBy("list_name", "kind", F.lower("key").alias("key"), F.to_date("effective_date").alias("valid_from"))
+        .groupBy("list_name", "kind", entry_key(F.col("key")).alias("key"), F.to_date("effective_date").alias("valid_from"))
         .agg(F.max("action").alias("action"))
     )
     following = Window.partitionBy("list_name", "kind", "key").orderBy("valid_from")
@@ -61,26 +63,26 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
 
     ``n_active`` counts the entries that apply to the capture on its day. The longest key decides; of equal keys an
     ``allow`` entry wins, then the list name that sorts last. ``kept`` is false where the deciding entry blocks.
-    Captures keep all their columns; columns of these names are replaced.
+    Captures keep all their columns; columns of these names, in whatever case, are replaced.
     """
-    mine = ["host", "n_active", "rule_key", "rule_list", "kept"]
-    site = captures.drop(*[c for c in captures.columns if c in mine]).withColumns(
-        {"__host": host_of(F.col(url)), "__segment": segment_of(F.col(url)), "__day": F.to_date(F.col(fetched))}
-    )
-    pairs = site.where("__host IS NOT NULL AND __day IS NOT NULL").select("__host", "__segment", "__day").distinct()
-    asked = pairs.select("*", F.explode(keys_of(F.col("__host"), F.col("__segment"))).alias("key"))
+    mine = {"host", "n_active", "rule_key", "rule_list", "kept"}
+    rest = F.struct(*[F.col(f"`{c}`") for c in captures.columns if c.lower() not in mine], F.lit(0).alias("_"))  # apart from the names used here
+    site = captures.select(rest.alias("rest"), host_of(F.col(url)).alias("host"), segment_of(F.col(url)).alias("segment"), F.to_date(F.col(fetched)).alias("day"))
+    pairs = site.where("host IS NOT NULL AND day IS NOT NULL").select("host", "segment", "day").distinct()
+    asked = pairs.select("*", F.explode(keys_of(F.col("host"), F.col("segment"))).alias("key"))
     active = asked.join(validity_intervals(entries), "key").withColumn(
-        "active", F.filter("intervals", lambda x: (x.valid_from <= F.col("__day")) & (x.valid_to.isNull() | (F.col("__day") < x.valid_to)))
+        "active", F.filter("intervals", lambda x: (x.valid_from <= F.col("day")) & (x.valid_to.isNull() | (F.col("day") < x.valid_to)))
     )
     best = F.array_max(F.transform("active", lambda x: F.struct(F.length("key").alias("size"), (x.kind == "allow").alias("allow"), x.list_name.alias("list"), F.col("key").alias("rule"))))
     verdict = (
         active.where(F.size("active") > 0)
-        .groupBy("__host", "__segment", "__day")
+        .groupBy("host", "segment", "day")
         .agg(F.sum(F.size("active")).alias("n_active"), F.max(best).alias("best"))
     )
-    return site.join(verdict, ["__host", "__segment", "__day"], "left").select(
-        *[F.col(c) for c in site.columns if not c.startswith("__")],
-        F.col("__host").alias("host"),
+    kept = [c for c in captures.columns if c.lower() not in mine]
+    return site.join(verdict, ["host", "segment", "day"], "left").select(
+        *[F.col("rest").getField(c).alias(c) for c in kept],
+        "host",
         F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
         F.col("best.rule").alias("rule_key"),
         F.col("best.list").alias("rule_list"),
@@ -144,7 +146,7 @@ entries AS (
   UNION ALL SELECT 'review', 'block', host || '/en', 'add', DATE '2021-01-01' + CAST(h % 900 AS INTEGER) FROM hosts WHERE h % 4 = 1
   UNION ALL SELECT 'review', 'allow', host, 'add', DATE '2021-01-01' + CAST(h % 500 + 60 AS INTEGER) FROM hosts WHERE h % 8 = 4
   UNION ALL SELECT 'review', 'allow', host, 'remove', DATE '2021-01-01' + CAST(h % 500 + 120 AS INTEGER) FROM hosts WHERE h % 8 = 4),
-days AS (SELECT list_name, kind, lower(key) AS key, day, max(action) AS action FROM entries GROUP BY ALL),
+days AS (SELECT list_name, kind, lower(split_part(key, '/', 1)) || substr(key, length(split_part(key, '/', 1)) + 1) AS key, day, max(action) AS action FROM entries GROUP BY ALL),
 spans AS (SELECT *, lead(day) OVER (PARTITION BY list_name, kind, key ORDER BY day) AS until FROM days),
 hits AS (
   SELECT c.page_id, s.key, s.kind, s.list_name
