@@ -97,3 +97,37 @@ def test_viterbi_and_gradient():
     z = np.column_stack([np.ones(400), y + rng.normal(size=400) * 0.5, *[rng.normal(size=400)] * (len(crf.FEATURES) - 2)])
     fitted = crf.train(z, np.full(80, 5), y)
     assert (crf.viterbi(z, np.full(80, 5), fitted) == y).mean() > 0.97
+
+
+def thue_morse(n):
+    """Strings whose polynomial hashes modulo 2 ** 64 agree, whatever the base."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_counts_are_exact_where_hashes_collide():
+    a, b = thue_morse(4096)
+    texts = [f"{a}\n{b}", f"{a} x y\n{b} x y", f"{a}\n{a}", "\n\n".join([f"w{k}" for k in range(60)] + ["w3"]), "", " \x1c ", "a b c\na b c"]
+    got = quality_rules.judge(texts, quality_rules.KEEP_ALL)
+    assert list(zip(*(got[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), strict=True)) == [brute(t) for t in texts]
+    assert got["kept"].tolist() == (~got["base_failed"]).tolist()
+
+
+def test_kept_follows_the_best_labels_of_a_model_by_hand():
+    """A model that calls lines with many symbols boilerplate, and likes neighbours alike: every verdict by brute force."""
+    import itertools
+
+    k = len(crf.FEATURES)
+    state = np.zeros((2, k))
+    state[1, 0], state[0, crf.FEATURES.index("symbols")] = 0.6, 8.0
+    model = {"state": state.tolist(), "transition": [[0.5, 0.0], [0.0, 0.5]]}
+    r = np.random.default_rng(5)
+    texts = ["\n".join(" ".join(r.choice(["word", "more", "|", "#", "thing"], p=p) + str(r.integers(10**6)) for _ in range(12)) for p in ([0.4, 0.3, 0.02, 0.02, 0.26], [0.1, 0.1, 0.35, 0.35, 0.1], [0.3, 0.2, 0.12, 0.13, 0.25]) for _ in range(r.integers(1, 4))) for _ in range(20)]
+    got = quality_rules.judge(texts, model)
+    for n, t in enumerate(texts):
+        lines = crf.Lines([t.encode()])
+        score = lines.x @ state.T
+        best = max(itertools.product((0, 1), repeat=len(score)), key=lambda y: sum(score[j, v] for j, v in enumerate(y)) + 0.5 * sum(u == v for u, v in zip(y, y[1:], strict=False)))
+        share = sum(w for w, y in zip(lines.line_words, best, strict=True) if y) / lines.line_words.sum()
+        assert got["content_share"][n] == share and got["kept"][n] == (share >= quality_rules.CONTENT_SHARE and not brute(t)[-1])
+    assert 0 < got["kept"].sum() < len(texts)

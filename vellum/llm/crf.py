@@ -1,7 +1,7 @@
 """A two-label linear-chain conditional random field over the lines of documents, in NumPy.
 
 ``Lines`` computes the features of all lines of a batch of texts at once: the texts lie in one byte buffer, classes of
-bytes come from tables, words and lines are compared by 64-bit polynomial hashes.
+bytes come from tables, words and lines are numbered by their bytes, so what counts as equal is equal.
 """
 
 from __future__ import annotations
@@ -27,32 +27,6 @@ IS_UPPER = _mask(bytes(range(65, 91)))
 ENDS_CLAUSE = _mask(b".,;:!?")
 ENDS_SENTENCE = _mask(b".!?")
 IS_START = np.array([b & 0xC0 != 0x80 for b in range(256)])
-_rng = np.random.default_rng(20240101)
-BYTE_HASH = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-_held: dict[int, np.ndarray] = {}
-#: Powers of a base that a worker keeps.
-HELD_POWERS = 1 << 22
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base ** k`` modulo 2 ** 64 for k below n."""
-    held = _held.get(int(base), np.zeros(0, np.uint64))
-    if len(held) < n:
-        held = np.full(max(n, 1 << 16), base, np.uint64)
-        held[0] = 1
-        held = np.multiply.accumulate(held)
-        if n <= HELD_POWERS:
-            _held[int(base)] = held
-    return held[:n]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
 
 
 def seen_before(keys: np.ndarray) -> np.ndarray:
@@ -63,6 +37,12 @@ def seen_before(keys: np.ndarray) -> np.ndarray:
     return same
 
 
+def numbers(things: list[bytes]) -> np.ndarray:
+    """Equal things have equal numbers, below the count of things."""
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(x, len(known)) for x in things], np.int64)
+
+
 def twice(keys: np.ndarray) -> np.ndarray:
     """Whether a key stands more than once."""
     order = np.argsort(keys)
@@ -85,10 +65,7 @@ class Lines:
         space = IS_SPACE[buf]
         starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
         stops = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(BYTE_HASH[buf] * _powers(_ODD, len(buf)))))
-        back = _powers(_ODD_INVERSE, len(buf) + 1)
-        span = lambda a, b: (sums[b] - sums[a]) * back[a]
-        word = mix(span(starts, stops))
+        word = numbers([w for t in texts for w in t.split()])
         word_doc = np.searchsorted(ends, starts, side="right")
         line_ends = np.flatnonzero(buf == 10)
         line_begins = np.concatenate(([0], line_ends + 1))[: len(line_ends)]
@@ -103,15 +80,17 @@ class Lines:
         symbols, word_chars = count(IS_SYMBOL[buf]), count(IS_START[buf] & ~space)
         self.n_symbols = symbols[ends] - symbols[begins]
         self.word_chars = word_chars[ends] - word_chars[begins]
-        salt = lambda docs: mix(docs.astype(np.uint64) + np.uint64(1))
-        line_key = mix(span(line_begins[with_word], line_ends[with_word]) ^ salt(line_doc[with_word]))
-        duplicate = seen_before(line_key)
+        line = numbers([x for t in texts for x in t.split(b"\n")])[with_word]
+        duplicate = seen_before(line_doc[with_word] * len(line_ends) + line)
         self.n_dup_lines = per_doc(line_doc[with_word], duplicate)
 
         covered = np.zeros(len(word), bool)
         if len(word) > 2:
             one_doc = word_doc[2:] == word_doc[:-2]
-            window = mix(mix(mix(word[:-2]) + word[1:-1]) + word[2:]) ^ salt(word_doc[:-2])
+            size = len(word)  # products stay below 2 ** 63 up to three thousand million words
+            pair = np.unique(word[:-1] * size + word[1:], return_inverse=True)[1]
+            triple = np.unique(pair[:-1] * size + word[2:], return_inverse=True)[1]
+            window = word_doc[:-2] * size + triple
             again = np.zeros(len(word) - 2, bool)
             again[one_doc] = twice(window[one_doc])
             covered[:-2] |= again

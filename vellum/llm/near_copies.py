@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import common
 from vellum.llm.components import components
-from vellum.llm.crf import BYTE_HASH, _ODD, _ODD_INVERSE, _powers, mix
+from vellum.llm.rolling import BYTE_HASH, _ODD, _ODD_INVERSE, _powers, mix
 
 WORDS = 5
 #: Texts that show which shingles are common, in how many of them such a shingle is at least, and how many are told.

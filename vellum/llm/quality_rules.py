@@ -1,9 +1,10 @@
 """Quality rules: a linear-chain CRF labels every line content or boilerplate; the share of content decides retention.
 
 The model is fitted on the driver to a bounded sample of labelled documents (``SAMPLE_DOCS`` of them, the lowest by MD5
-of the id, at most ``SAMPLE_LINES`` lines of each): every line of a sampled document takes the document's quality label,
-and the chain and the other lines average out the lines that do not deserve it. All counts and all decisions cover every
-line of every text. Scoring is one pass over the documents in Arrow batches, cut so that a task holds a few megabytes of
+of the id), whose lines are all used: every line of a sampled document takes the document's quality label, so what the
+model learns as boilerplate is what lines of poor documents look like; the chain and the other lines average out the
+lines that do not deserve it. Executors compute the features of the sample, and for fitting a document's lines are cut
+into chains of ``SEGMENT``. All counts and all decisions cover every line of every text, as one chain. Scoring is one pass over the documents in Arrow batches, cut so that a task holds a few megabytes of
 text (or one text) at a time; nothing is shuffled.
 
 A null text has no words, fails the base rules and is not kept. Repeated rows get equal results. With no labelled row
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from vellum.llm import common, crf
 
 SAMPLE_DOCS = 3000
-SAMPLE_LINES = 60
+#: Lines of a chain when the model is fitted.
+SEGMENT = 256
 #: Least share of a text's words on content lines.
 CONTENT_SHARE = 0.5
 #: Fewest words of a text.
@@ -35,14 +37,23 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.where("quality IS NOT NULL").groupBy(F.col(doc_id).alias("__id")).agg(F.min("quality").alias("__quality"))
     chosen = F.broadcast(known.orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(sample))  # at most `sample` rows
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(chosen, "__id")
-    head = F.array_join(F.slice(F.split(F.col("__text"), "\n"), 1, SAMPLE_LINES), "\n")
-    found = rows.where("__text IS NOT NULL").select("__id", "__quality", F.substring(head, 1, 40_000).alias("__text")).groupBy("__id").agg(F.min(F.struct("__quality", "__text")).alias("r")).select("__id", "r.*").collect()
-    found.sort(key=lambda r: r["__id"])
-    if len({r["__quality"] for r in found}) < 2:
+    once = rows.where("__text IS NOT NULL").groupBy("__id").agg(F.min(F.struct("__quality", "__text")).alias("r")).select(F.col("__id").cast("string").alias("id"), F.col("r.__quality").cast("int").alias("quality"), F.col("r.__text").alias("text"))
+
+    def features(batches):
+        for b in batches:
+            for i, q, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = crf.Lines([t.encode("utf-8", "surrogatepass")]).x
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([q], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())], names=["id", "quality", "x"])
+
+    found = sorted(once.mapInArrow(features, "id string, quality int, x binary").collect(), key=lambda r: r["id"])  # at most `sample` rows
+    if len({r["quality"] for r in found}) < 2:
+        return KEEP_ALL
+    parts = [np.frombuffer(r["x"], "<f4").reshape(-1, len(crf.FEATURES)) for r in found]
+    chains = [(min(SEGMENT, len(x) - a), r["quality"]) for x, r in zip(parts, found, strict=True) for a in range(0, len(x), SEGMENT)]
+    if not chains:
         return KEEP_ALL
-    parts = [crf.Lines([r["__text"].encode() for r in found[a : a + 100]]) for a in range(0, len(found), 100)]
-    x, lengths = np.concatenate([p.x for p in parts]), np.concatenate([p.lengths() for p in parts])
-    return crf.train(x, lengths, np.repeat([r["__quality"] for r in found], lengths)) if len(x) else KEEP_ALL
+    lengths, quality = (np.array(c) for c in zip(*chains, strict=True))
+    return crf.train(np.concatenate(parts).astype(float), lengths, np.repeat(quality, lengths))
 
 
 def judge(texts: list[str | None], model: dict) -> dict[str, np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import common
-from vellum.llm.crf import BYTE_HASH, _ODD, _ODD_INVERSE, _powers, mix
+from vellum.llm.rolling import BYTE_HASH, _ODD, _ODD_INVERSE, _powers, mix
 from vellum.llm.storage import open_fs
 from vellum.llm.suffix_array import permuted_prefixes, suffix_array
 
