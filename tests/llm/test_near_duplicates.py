@@ -137,3 +137,40 @@ def test_caps_against_brute_force(spark):
     assert np.mean([got[k].component_id == comp[k] for k in range(len(x))]) > 0.98
     assert all(got[5000 + k].n_links == 0 and got[5000 + k].kept for k in range(6)) and got[5006].n_links == got[5007].n_links == 1 and got[5007].component_id == 5006
     assert embedding_caps.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_caps_with_repeated_ids_and_any_scale(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 16))
+    turn = lambda v: v + rng.normal(size=16) * 0.02
+    rows = [(5, x), (5, y), (6, turn(x)), (7, turn(y)), (8, x * 1e200), (9, turn(x) * 1e-200), (10, rng.normal(size=16)), (11, x * 1e-310), (None, x)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_caps.near_duplicates(df).collect())
+    assert got == [(0, 0, None, True), (5, 1, 5, True), (5, 4, 5, True), (6, 4, 5, False), (7, 1, 5, False), (8, 4, 5, False), (9, 4, 5, False), (10, 0, 10, True), (11, 4, 5, False)]
+
+
+def test_decoding_finds_every_filter():
+    rng = np.random.default_rng(4)
+    for dim, alpha in ((1, 0.4), (2, 0.4), (9, 0.5), (24, 0.45)):
+        u = rng.normal(size=(40, dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        rotation, words = embedding_caps.code(dim, 1, alpha)
+        if dim == 1:
+            directions = words[0]
+        else:
+            directions = np.concatenate([np.concatenate((np.repeat(words[0][k : k + 1], len(words[1]), 0), words[1]), axis=1) for k in range(len(words[0]))])
+        row, ident = embedding_caps.decode(u, 1, alpha)
+        assert set(zip(row.tolist(), ident.tolist(), strict=True)) == {(int(a), int(b)) for a, b in np.argwhere((u @ rotation) @ directions.T >= alpha)}
+
+
+def test_candidates_grow_with_the_vectors():
+    """Five times the vectors: the members of a filter, and so candidates per vector, stay about the same."""
+    rng = np.random.default_rng(6)
+    per = []
+    for n in (6000, 30_000):
+        u = rng.normal(size=(n, 64))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        _, ident = embedding_caps.decode(u, 0, embedding_caps.alpha_for(64, n))
+        sizes = np.unique(ident, return_counts=True)[1]
+        per.append((sizes**2).sum() / n)
+    assert per[1] < 1.6 * per[0]
