@@ -103,7 +103,7 @@ def removed(rows):
 
 @pytest.mark.parametrize("hot", [10_000, 3])
 def test_repeats_against_brute_force(spark, monkeypatch, hot):
-    for name, value in (("HOT_DOCS", hot), ("BLOCK_BYTES", 5000), ("SHARD_BYTES", 8000), ("BATCH_BYTES", 3000)):
+    for name, value in (("HOT_DOCS", hot), ("BLOCK_BYTES", 5000), ("RUN", 64), ("BATCH_BYTES", 3000)):
         monkeypatch.setattr(suffix_dedup, name, value)
     d = docs(spark, 60, long=3000)
     rows = [(i, t.encode()) for i, t in rows_of(d)]

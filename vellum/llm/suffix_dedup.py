@@ -12,19 +12,23 @@ in which blocks ask and shards of the anchors' hash space answer; texts stay whe
 3. The block marks the windows, by these bits and by the order of its own documents, and removes what they cover.
 
 An anchor that ``HOT_DOCS`` documents hold or more is not asked about as a whole: its windows are contexts of their own
-and go to shards by their own hash, so no shard collects the surroundings of a common passage. Shards work through their
-contexts in batches of about ``BATCH_BYTES``. Answers lie in shared storage in a folder per block, so a task reads its own.
+and go to shards by their own hash, so no shard collects the surroundings of a common passage. A run of more than ``RUN``
+windows is several contexts, so a text of one letter is a few contexts that are equal. Shards are as many as a multiple
+of the shuffle partitions and are dealt to them in turn; they work through their contexts in batches of about
+``BATCH_BYTES``. Answers lie in shared storage in a folder for each partition of blocks, so a task reads its own.
 
 A null text is empty. Rows that share an id do not remove each other's bytes. A null id is larger than every other, and
-nulls are equal. Anchors and contexts are told apart inside a block by 64-bit hashes; shards compare bytes.
+nulls are equal. Equal contexts of a block are found by hash and confirmed on their bytes; shards compare bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import common
+from vellum.llm.crf import numbers
 from vellum.llm.rolling import BYTE_HASH, _ODD, _ODD_INVERSE, _powers, mix
 from vellum.llm.storage import open_fs
 from vellum.llm.suffix_array import permuted_prefixes, suffix_array
@@ -43,8 +48,10 @@ SPAN = LENGTH - GRAM + 1
 BLOCK_BYTES = 2 << 20
 BATCH_BYTES = 1 << 19
 HOT_DOCS = 10_000
-#: Bytes of text for each shard of the first two exchanges.
-SHARD_BYTES = 4 << 20
+#: Windows of a context.
+RUN = 256
+#: Shards of each shuffle partition in the first two exchanges.
+SHARDS = 4
 NULL_ID = (1 << 63) - 1
 
 
@@ -84,12 +91,29 @@ class Texts:
         self.doc = np.searchsorted(self.ends, self.start, side="right")
         following = np.append(self.start[1:], len(least))
         self.stop = np.minimum(following, last[self.doc])
+        parts = -(-(self.stop - self.start) // RUN)
+        if parts.max(initial=1) > 1:
+            which = np.repeat(np.arange(len(parts)), parts)
+            self.start = self.start[which] + RUN * _ranges(np.zeros(len(parts), np.int64), parts)
+            self.stop = np.minimum(self.start + RUN, self.stop[which])
+            self.doc = self.doc[which]
         self.anchor = least[self.start]
 
     def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hash of the bytes of each range, and its length."""
         return mix(mix((self.sums[stop] - self.sums[start]) * self.back[start]) + (stop - start).astype(np.uint64))
 
+    def equal(self, start: np.ndarray, stop: np.ndarray, like: np.ndarray) -> bool:
+        """Whether every range holds the bytes of the range that it is taken to be like."""
+        other = np.flatnonzero(like != np.arange(len(like)))
+        for k in range(0, len(other), 1 << 14):
+            a = other[k : k + (1 << 14)]
+            b = like[a]
+            n = stop[a] - start[a]
+            if (n != stop[b] - start[b]).any() or (self.buf[_ranges(start[a], n)] != self.buf[_ranges(start[b], n)]).any():
+                return False
+        return True
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchors, ascending, and the number of documents of the block that hold each."""
         order = np.lexsort((self.doc, self.anchor))
@@ -103,6 +127,12 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
+def _present(shard: np.ndarray):
+    """``(shard, begin, end)`` of each shard that occurs; ascending."""
+    names, begin = np.unique(shard, return_index=True)
+    return zip(names.tolist(), begin.tolist(), [*begin[1:].tolist(), len(shard)], strict=True)
+
+
 class Contexts:
     """The distinct contexts of a block: what it asks, and where each run of windows finds its answer."""
 
@@ -119,7 +149,10 @@ class Contexts:
         stop = start + self.windows + LENGTH - 1
         content = t.hashes(start, stop)
         route = np.concatenate((t.anchor[cold], content[len(cold) :]))
-        keys, first, self.which = np.unique(np.stack((route, content), axis=1).view([("r", "<u8"), ("c", "<u8")]).ravel(), return_index=True, return_inverse=True)
+        distinct = lambda c: np.unique(np.stack((route, c), axis=1).view([("r", "<u8"), ("c", "<u8")]).ravel(), return_index=True, return_inverse=True)
+        keys, first, self.which = distinct(content)
+        if not t.equal(start, stop, first[self.which]):  # hashes agree by chance or design: tell contexts apart by their bytes
+            keys, first, self.which = distinct(numbers([t.buf[a:b].tobytes() for a, b in zip(start, stop, strict=True)]).astype(np.uint64))
         self.start, self.id = start, t.ids[doc]
         self.least = np.full(len(keys), NULL_ID, np.int64)
         np.minimum.at(self.least, self.which, self.id)
@@ -130,12 +163,9 @@ class Contexts:
 
     def ask(self, t: Texts):
         """``(shard, routes, sizes, least ids, bytes)`` per shard, contexts in the order of their keys."""
-        cuts = np.searchsorted(self.shard, np.arange(self.shard.max(initial=-1) + 2))
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a < b:
-                lengths = self.stop_first[a:b] - self.first[a:b]
-                at = np.repeat(self.first[a:b] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-                yield s, self.route[a:b].tobytes(), self.size[a:b].astype("<u4").tobytes(), self.least[a:b].tobytes(), t.buf[at].tobytes()
+        for s, a, b in _present(self.shard):
+            at = _ranges(self.first[a:b], self.stop_first[a:b] - self.first[a:b])
+            yield s, self.route[a:b].tobytes(), self.size[a:b].astype("<u4").tobytes(), self.least[a:b].tobytes(), t.buf[at].tobytes()
 
 
 def smaller_elsewhere(route: np.ndarray, size: np.ndarray, least: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -202,11 +232,24 @@ def coverage(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def read_answers(path: str, block: int, columns: list[str]) -> pa.Table | None:
-    fs, name = open_fs(f"{path}/block={block}")
+#: Bits of a block's number below those of its partition.
+SEQ_BITS = 24
+
+
+@functools.lru_cache(maxsize=2)
+def _part_answers(path: str, part: int) -> pa.Table | None:
+    fs, name = open_fs(f"{path}/part={part}")
     if fs.get_file_info(name).type == pafs.FileType.NotFound:
         return None
-    return pads.dataset(name, filesystem=fs, format="parquet", exclude_invalid_files=True).to_table(columns=columns)
+    return pads.dataset(name, filesystem=fs, format="parquet", exclude_invalid_files=True).to_table()
+
+
+def read_answers(path: str, block: int, columns: list[str]) -> list[tuple]:
+    """The answers to a block, from the file of its partition; tasks go through the blocks of a partition in turn."""
+    found = _part_answers(path, block >> SEQ_BITS)
+    if found is None:
+        return []
+    return list(zip(*(found.filter(pc.equal(found.column("block"), block)).column(c).to_pylist() for c in columns), strict=True))
 
 
 def stage(docs: DataFrame, doc_id: str, text: str, shards: int, rest: list[str]) -> DataFrame:
@@ -224,13 +267,12 @@ def stage(docs: DataFrame, doc_id: str, text: str, shards: int, rest: list[str])
             texts = [x.encode("utf-8", "surrogatepass") if x else b"" for x in b.column(1).to_pylist()]
             ids, lengths, data = b.column(0).to_pylist(), [len(x) for x in texts], b"".join(texts)
             anchors, docs_ = Texts(data, lengths, ids).anchors()
-            cuts = np.searchsorted(shard_of(anchors, shards), np.arange(shards + 1))
-            asked = [{"shard": s, "anchors": anchors[a:e].astype("<u4").tobytes(), "docs": np.minimum(docs_[a:e], 65535).astype("<u2").tobytes()} for s, (a, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < e]
+            asked = [{"shard": s, "anchors": anchors[a:e].astype("<u4").tobytes(), "docs": np.minimum(docs_[a:e], 65535).astype("<u2").tobytes()} for s, a, e in _present(shard_of(anchors, shards))]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 if rest:
                     w.write_table(b)
-            row = {"block": part << 24 | seq, "ids": ids, "lengths": lengths, "data": data, "rest": sink.getvalue().to_pybytes() if rest else None, "asked": asked}
+            row = {"block": part << SEQ_BITS | seq, "ids": ids, "lengths": lengths, "data": data, "rest": sink.getvalue().to_pybytes() if rest else None, "asked": asked}
             seq += 1
             held.clear()
             return pa.RecordBatch.from_pylist([row], schema)
@@ -280,14 +322,33 @@ def _contexts(row: dict, answers: str, shards: int) -> tuple[Texts, Contexts]:
     anchors = np.unique(t.anchor)
     several, hot = np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
     cuts = np.searchsorted(shard_of(anchors, shards), np.arange(shards + 1))
-    found = read_answers(answers, row["block"], ["shard", "several", "hot"])
-    for s, a, b in zip(*(c.to_pylist() for c in found.columns), strict=True) if found else ():
+    for s, a, b in read_answers(answers, row["block"], ["shard", "several", "hot"]):
         several[cuts[s] : cuts[s + 1]], hot[cuts[s] : cuts[s + 1]] = _bits(a, cuts[s + 1] - cuts[s]), _bits(b, cuts[s + 1] - cuts[s])
     return t, Contexts(t, anchors[several], anchors[hot], shards)
 
 
-def _by_block(df: DataFrame, path: str) -> str:
-    df.repartition(common.shuffle_partitions(df.sparkSession), "block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
+def _answered(asked: DataFrame, answer, kinds: str, path: str) -> str:
+    """Give each shard's questions to ``answer``, shards dealt to the partitions in turn, and write what it says by the
+    partitions of the blocks that asked."""
+    n = common.shuffle_partitions(asked.sparkSession)
+
+    def run(batches):
+        held, key = [], None
+        for b in batches:
+            shards = b.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), b.num_rows]
+            for p, q in zip(cuts, cuts[1:], strict=False):
+                if held and shards[p] != key:
+                    yield from answer(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                key = shards[p]
+                held.append(b.slice(p, q - p))
+        if held:
+            yield from answer(pa.Table.from_batches(held)).to_batches()
+
+    placed = asked.repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard")
+    parts = placed.mapInArrow(run, kinds).withColumn("part", F.shiftright("block", SEQ_BITS))
+    parts.repartition(n, "part").sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "zstd").parquet(path)
     return path
 
 
@@ -296,15 +357,13 @@ def remove_repeats(docs: DataFrame, emit, kinds: str, doc_id: str = "doc_id", te
     ``rest`` the block's rows as an Arrow table, where other columns were asked for."""
     spark = docs.sparkSession
     path = common.workdir(spark, "repeats")
-    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0
-    shards = max(1, -(-n_bytes // SHARD_BYTES))
-    n_parts = common.shuffle_partitions(spark)
+    shards = SHARDS * common.shuffle_partitions(spark)
     with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500", spark__sql__parquet__compression__codec="zstd"):
         blocks = common.table(stage(docs, doc_id, text, shards, list(rest)), f"{path}/blocks")
-    one_by_one = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1", "spark__sql__parquet__columnarReaderBatchSize": "2"}
-    with common.settings(spark, spark__sql__parquet__columnarReaderBatchSize="2"):
-        asked = blocks.select("block", F.explode("asked").alias("q")).select("block", "q.*").repartition(max(n_parts, 1), "shard")
-        answers = _by_block(asked.groupBy("shard").applyInArrow(_mark_anchors, "block long, shard int, several binary, hot binary"), f"{path}/anchors")
+    by_bytes = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2000", "spark__sql__execution__arrow__maxBytesPerBatch": str(1 << 20), "spark__sql__parquet__columnarReaderBatchSize": "2"}
+    with common.settings(spark, **by_bytes):
+        asked = blocks.select("block", F.explode("asked").alias("q")).select("block", "q.*")
+        answers = _answered(asked, _mark_anchors, "block long, shard int, several binary, hot binary", f"{path}/anchors")
 
     def ask(batches):
         for b in batches:
@@ -313,9 +372,9 @@ def remove_repeats(docs: DataFrame, emit, kinds: str, doc_id: str = "doc_id", te
                 for s, *parts in c.ask(t):
                     yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([s], pa.int32()), *[pa.array([x], pa.binary()) for x in parts]], names=["block", "shard", "routes", "sizes", "least", "data"])
 
-    with common.settings(spark, **one_by_one):
+    with common.settings(spark, **by_bytes):
         asked = blocks.select("block", "ids", "lengths", "data").mapInArrow(ask, "block long, shard int, routes binary, sizes binary, least binary, data binary")
-        bits = _by_block(asked.groupBy("shard").applyInArrow(_mark_windows, "block long, shard int, bits binary"), f"{path}/windows")
+        bits = _answered(asked, _mark_windows, "block long, shard int, bits binary", f"{path}/windows")
 
     def mark(batches):
         for b in batches:
@@ -323,8 +382,7 @@ def remove_repeats(docs: DataFrame, emit, kinds: str, doc_id: str = "doc_id", te
                 t, c = _contexts(row, answers, shards)
                 smaller = np.zeros(c.offset[-1], bool)
                 cuts = c.offset[np.searchsorted(c.shard, np.arange(shards + 1))]
-                found = read_answers(bits, row["block"], ["shard", "bits"])
-                for s, x in zip(*(col.to_pylist() for col in found.columns), strict=True) if found else ():
+                for s, x in read_answers(bits, row["block"], ["shard", "bits"]):
                     smaller[cuts[s] : cuts[s + 1]] = _bits(x, cuts[s + 1] - cuts[s])
                 window = _ranges(c.start, c.windows)
                 marked = smaller[_ranges(c.offset[c.which], c.windows)] | np.repeat(c.id > c.least[c.which], c.windows)
@@ -333,7 +391,7 @@ def remove_repeats(docs: DataFrame, emit, kinds: str, doc_id: str = "doc_id", te
                 table = pa.ipc.open_stream(row["rest"]).read_all() if rest else None
                 yield from emit(row["ids"], [t.buf[a:e] for a, e in zip(begins, t.ends, strict=True)], [gone[a:e] for a, e in zip(begins, t.ends, strict=True)], table)
 
-    with common.settings(spark, **one_by_one):
+    with common.settings(spark, **by_bytes):
         out = common.table(blocks.select("block", "ids", "lengths", "data", "rest").mapInArrow(mark, kinds), f"{path}/out")
     common.remove(spark, f"{path}/blocks", answers, bits)
     return out
