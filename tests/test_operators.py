@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import agent, diff, matrix, ml, retrieval, tabular
+from vellum.operators import diff, matrix, ml, retrieval, runner, tabular
 from vellum.sources import readers, writers
 from vellum.streaming import trace
 
@@ -109,20 +109,20 @@ def test_models(spark):
     assert grams[0].g == ["a", "b", " ", "c", "ab", "b ", " c"] and grams[1].g == [] and grams[2].g == ["x"]
 
 
-def test_agent(spark, tmp_path):
+def test_runner(spark, tmp_path):
     seen = []
-    state = agent.Agent(agent.default_tools(), trace=lambda *a: seen.append(a)).run("计算 (17 + 5) * 3")
+    state = runner.Runner(runner.default_tools(), trace=lambda *a: seen.append(a)).run("计算 (17 + 5) * 3")
     assert state.status == "completed" and state.calls == 1 and state.output == "66" and [s[0] for s in seen] == ["start", "action", "end"]
-    w = agent.Workspace(spark, str(tmp_path))
+    w = runner.Workspace(spark, str(tmp_path))
     for bad in ("../x", "/etc/passwd"):
         with pytest.raises(ValueError):
             w.resolve(bad)
-    tools = agent.default_tools(w)
+    tools = runner.default_tools(w)
     tools.invoke("write_file", {"name": "a.txt", "content": "hi"})
     assert tools.invoke("read_file", {"name": "a.txt"}) == "hi" and len(w.files()) == 1
     with pytest.raises(FileExistsError):
         tools.invoke("write_file", {"name": "a.txt", "content": "hi"})
     with pytest.raises(TypeError):
         tools.invoke("calculator", {"expression": 3})
-    assert agent.Policy().check(tools.get("write_file"), 0, 0) == (False, "not approved")
-    assert agent.Agent(tools, agent.Policy(max_calls=0)).run("1 + 1").status == "stopped"
+    assert runner.Policy().check(tools.get("write_file"), 0, 0) == (False, "not approved")
+    assert runner.Runner(tools, runner.Policy(max_calls=0)).run("1 + 1").status == "stopped"

@@ -92,13 +92,18 @@ def _halves(left: str, right: str) -> tuple[str, str] | None:
     return (a[0], b[0]) if a and b else None
 
 
+#: Chinese characters of a short tail before a break, and of a short head behind it, at most.
+SHORT_TAIL, SHORT_HEAD = 3, 2
+
+
 def breaks_word(left: str, right: str) -> bool:
-    """Whether a layout probably cut a Chinese word in two: a short tail or a short head."""
+    """Whether a layout probably cut a Chinese word in two: a short tail or a short head, with nothing ending or starting
+    at the break."""
     left, right = inline(left), inline(right)
-    if not left or not right or ends_sentence(left) or list_line(right) or opens_paragraph(right):
-        return False
     found = _halves(left, right)
-    return found is not None and (len(found[0]) <= 3 or len(found[1]) <= 2)
+    if not found or len(found[0]) > SHORT_TAIL and len(found[1]) > SHORT_HEAD:
+        return False
+    return not (ends_sentence(left) or list_line(right) or opens_paragraph(right))
 
 
 def mend_blank_lines(s: str) -> str:
@@ -137,7 +142,7 @@ def join_lines(lines: list[str]) -> str:
         tail = out.rstrip()
         if not out:
             out = line
-        elif list_line(line) or (tail[-1:] and tail[-1] in "。！？!?；;：:" and not (tail[-1] == "-")):
+        elif list_line(line) or (tail[-1:] and tail[-1] in "。！？!?；;：:"):
             out += "\n" + line
         elif tail[-1:] == "-" and rx("[a-z]").match(line):
             out = tail[:-1] + line

@@ -6,6 +6,8 @@ joins and windows; merging is a fold over one page in reading order (``applyInPa
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,39 +188,50 @@ def detect_headings(blocks: DataFrame, pages: DataFrame, fonts: DataFrame, confi
     return b.withColumn("__h", rule).select(*base, F.col("__h.level").alias("heading_level"), F.col("__h.source").alias("heading_source"))
 
 
-def _fonts_apart(a: dict, b: dict, most: float) -> bool:
-    x, y = max(a["avg_font_size"], 1.0), max(b["avg_font_size"], 1.0)
-    return abs(x - y) / max(x, y) > most
+@dataclass(frozen=True)
+class Fit:
+    """How far apart two blocks may be to be one: fixed values of the layout rules."""
+
+    font: float  # share by which the smaller font may differ
+    gap: float  # vertical gap in font sizes
+    shift: float  # left edges, in points
+    overlap: float = 0.0  # least share of the narrower block's width that both have
+
+    def holds(self, a: dict, b: dict) -> bool:
+        small, large = sorted(max(x["avg_font_size"], 1.0) for x in (a, b))
+        common = max(0.0, min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]))
+        narrow = max(1e-9, min(x["x1"] - x["x0"] for x in (a, b)))
+        return (large - small) / large <= self.font and -3 <= b["y0"] - a["y1"] <= large * self.gap and abs(a["x0"] - b["x0"]) <= self.shift and common / narrow >= self.overlap
+
+
+PROGRAM = Fit(font=0.18, gap=2.4, shift=140)
+#: A short line looks like a title from this size, over the body's; from that size where it is bold; up to so many characters.
+TITLE_RATIO, BOLD_TITLE_RATIO, TITLE_CHARS = 1.22, 1.08, 52
 
 
-def _gap_fits(a: dict, b: dict, ratio: float) -> bool:
-    return -3 <= b["y0"] - a["y1"] <= max(a["avg_font_size"], b["avg_font_size"], 1.0) * ratio
+def _paragraph_fit(config: ParserConfig) -> Fit:
+    return Fit(font=0.14, gap=config.max_block_vertical_gap_ratio, shift=config.max_block_x_offset, overlap=0.55)
 
 
 def _one_program(a: dict, b: dict) -> bool:
-    titled = a["heading_level"] or b["heading_level"]
-    return bool(a["monospace"] and b["monospace"] and not titled and not _fonts_apart(a, b, 0.18) and _gap_fits(a, b, 2.4) and abs(a["x0"] - b["x0"]) <= 140)
+    return all(x["monospace"] and not x["heading_level"] for x in (a, b)) and PROGRAM.holds(a, b)
 
 
 def _title_like(b: dict, body: float) -> bool:
     line = rules.inline(b["text"])
-    ratio = b["max_font_size"] / body if body > 0 else 0.0
-    loud = ratio >= 1.22 or (b["bold"] and ratio >= 1.08) or rules.rx(fixed.MULTI_NUMBER).match(line)
-    return bool(loud) and rules.visible(line) <= 52 and not rules.like_sentence(line)
+    needed = BOLD_TITLE_RATIO if b["bold"] else TITLE_RATIO
+    loud = bool(rules.rx(fixed.MULTI_NUMBER).match(line)) or (body > 0 and b["max_font_size"] >= needed * body)
+    return loud and rules.visible(line) <= TITLE_CHARS and not rules.like_sentence(line)
 
 
 def _one_paragraph(a: dict, b: dict, body: float, headings: bool, config: ParserConfig) -> bool:
-    if (headings and (a["heading_level"] or b["heading_level"])) or a["monospace"] or b["monospace"] or rules.list_line(b["text"]):
-        return False
-    if rules.ends_sentence(a["text"]) or a["text"][-1:] in ("：", ":"):
-        return False
-    if rules.opens_paragraph(b["text"]) and any(map(rules.list_line, filter(str.strip, a["text"].splitlines()))):
-        return False
-    if not headings and (_title_like(a, body) or _title_like(b, body)):
-        return False
-    common = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
-    narrow = max(min(a["x1"] - a["x0"], b["x1"] - b["x0"]), 1e-9)
-    return not _fonts_apart(a, b, 0.14) and _gap_fits(a, b, config.max_block_vertical_gap_ratio) and abs(a["x0"] - b["x0"]) <= config.max_block_x_offset and max(common, 0.0) / narrow >= 0.55
+    """Two prose blocks close to each other, the first of which does not end and the second of which starts nothing."""
+    apart = (lambda x: x["heading_level"]) if headings else (lambda x: _title_like(x, body))
+    own = any(x["monospace"] or apart(x) for x in (a, b))
+    ends = a["text"][-1:] in ("：", ":") or rules.ends_sentence(a["text"])
+    after_list = any(rules.list_line(x) for x in a["text"].splitlines() if x.strip())
+    starts = rules.list_line(b["text"]) or (after_list and rules.opens_paragraph(b["text"]))
+    return not (own or ends or starts) and _paragraph_fit(config).holds(a, b)
 
 
 def _together(a: dict, b: dict, program: bool, spaces: int) -> dict:
