@@ -1,14 +1,18 @@
-"""Near copies: documents whose sets of ``WORDS``-word shingles have a Jaccard similarity of 0.8 or more.
-
-Every such pair is found, not only likely ones. Similar sets share much more than four fifths of the larger one, so in any
-fixed order of all shingles they share one of the first ``n - ceil(4 n / 5) + 1`` of each (the prefix). The order has the
-shingles that a sample of the texts shows to be common last; it decides the number of candidates, never the result.
-Candidates are verified on the shingles themselves.
-
-Texts with equal words are one node. The nodes of a shingle are first compared only with its least and its greatest node,
-so a large group of near copies becomes one component without all its pairs; after that, of the nodes that share a
-shingle, all pairs of different components are compared whose prefixes share enough: the prefix that ends first holds all
-that it shares with the other set, so the sets share at most that and what follows the prefix.
+"""SimHash near-dedup at a similarity: documents whose sets of ``WORDS``-word shingles have a Jaccard similarity of 0.8
+or more, found through fingerprints in Gray order and verified on the shingles themselves.
+
+Sets as alike as that differ in 0.15 of the bits of a SimHash, too many for a fingerprint of 64 bits to tell them from
+others. So a fingerprint has ``WIDE`` such words, and there are several Gray orders, each of one of the words under one
+rotation: in an order, two fingerprints that agree in its leading bits stand close to each other. A leaf is ``LEAF``
+neighbours in one order; leaves are compared with themselves and with the one before, also across partitions. Inside them the bits that all of a
+row of ``SUB`` fingerprints share are its pattern, and pairs of rows are dropped as a whole when their patterns differ in
+more than the limit; of the rest, differences are added up word by word and a pair is dropped when they pass the limit
+for as many words. The number of orders follows from the number of texts, so that a pair of similarity 0.8 meets in some
+order with probability ``RECALL``; more similar pairs meet more surely. It grows with a small power of that number.
+
+Texts with equal words are one node. First a spanning forest of the candidates is taken, and every node is verified with
+the least node of its tree; then all candidates whose nodes are not in one component yet are verified. So a large group
+of near copies is never written out as pairs, and no candidate between different components goes unverified.
 
 Words are told apart as in ``simhash``: white space is ASCII, A-Z counts as a-z. A text of fewer than ``WORDS`` words is one
 shingle; texts without words are copies of each other.
@@ -16,20 +20,35 @@ shingle; texts without words are copies of each other.
 
 from __future__ import annotations
 
+import math
 import string
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellum.llm import common
-from vellum.llm.components import components
+from vellum.llm.components import components, stars
 from vellum.llm.rolling import BYTE_HASH, _ODD, _ODD_INVERSE, _powers, mix
+from vellum.llm.simhash import gray_rank
 
 WORDS = 5
-#: Texts that show which shingles are common, in how many of them such a shingle is at least, and how many are told.
-SAMPLE_TEXTS, COMMON, COMMON_SHINGLES = 20_000, 10, 100_000
+#: 64-bit words of a fingerprint, and bits that may differ after one, two ... of them: what sets of similarity 0.8 differ
+#: in on average and 4.3, 3.5, 3.3 and 3 standard deviations.
+WIDE, LIMITS = 4, (22, 34, 46, 56)
+#: Neighbours of a leaf and of a row in it.
+LEAF, SUB = 512, 16
+#: Share of differing bits at similarity 0.8, and how likely such a pair meets in some order.
+DIFFER, RECALL = math.acos(0.8 / 0.9) / math.pi, 0.995
+
+
+def orders_for(n: int) -> int:
+    """Gray orders for ``n`` fingerprints: a pair meets in one if it agrees in the bits that tell leaves apart."""
+    meets = (1 - DIFFER) ** max(0.0, math.log2(max(n, 1) / LEAF))
+    return 1 if meets >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
 
 
 def words_of(text: Column) -> Column:
@@ -67,39 +86,138 @@ def similar(x: set, y: set) -> bool:
     return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
-def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of the shingles that many texts of a sample hold."""
-    every = max(1, nodes.count() // SAMPLE_TEXTS)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of shingle hashes in ``WIDE`` words."""
+    out = np.zeros(WIDE, np.uint64)
+    for k in range(WIDE):
+        octets = mix(hashes.view(np.uint64) ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BITS for j in range(8)]) if len(octets) > 64 else np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
+        out[k] = int.from_bytes(np.packbits(2 * ones > len(octets)).tobytes(), "big")
+    return out
 
-    def run(batches):
-        for b in batches:
-            for w in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(w.encode("utf-8", "surrogatepass")))], names=["shingle"])
 
-    sample = nodes.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("words").mapInArrow(run, "shingle long")
-    found = sample.groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(COMMON_SHINGLES).collect()
-    found.sort()
-    return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # highest bit first
+PRINTS = "node long, size long, " + ", ".join(f"f{k} long" for k in range(WIDE))
 
 
-def prefixes(nodes: DataFrame) -> DataFrame:
-    """``shingle, node, size``: the first shingles of every node, and the size of its set."""
-    known, counts = common_shingles(nodes)
+def fingerprints(nodes: DataFrame) -> DataFrame:
+    """``node, size, f0, f1 ...``: the number of shingles and the fingerprint of every node with words."""
 
     def run(batches):
         for b in batches:
-            for node, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = shingle_hashes(w.encode("utf-8", "surrogatepass"))
-                n = len(h)
-                if n:
-                    weight = np.zeros(n, np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        weight = np.where(known[at] == h, counts[at], 0)
-                    first = h[np.lexsort((h, weight))[: n - -(-4 * n // 5) + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), node)), pa.array(np.full(len(first), n))], names=["shingle", "node", "size"])
+            names, words = b.column(0).to_pylist(), [w.encode("utf-8", "surrogatepass") for w in b.column(1).to_pylist()]
+            hashes = [(n, shingle_hashes(w)) for n, w in zip(names, words, strict=True) if w]
+            prints = np.array([wide_fingerprint(h) for _, h in hashes], np.uint64).reshape(-1, WIDE).view(np.int64)
+            columns = [pa.array([n for n, _ in hashes], pa.int64()), pa.array([len(h) for _, h in hashes], pa.int64()), *[pa.array(prints[:, k]) for k in range(WIDE)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", *[f"f{k}" for k in range(WIDE)]])
+
+    return nodes.select("node", "words").mapInArrow(run, PRINTS)
+
+
+def within(a: np.ndarray, b: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of fingerprints (rows of ``WIDE`` words) within the limits; word ``first`` counts first."""
+    turn = [(first + k) % WIDE for k in range(WIDE)]
+    rows = [np.concatenate((x, np.repeat(x[-1:], -len(x) % SUB, 0))).reshape(-1, SUB, WIDE) for x in (a, b)]
+    ones, zeros = ([op.reduce(y, axis=1) for y in z] for op, z in ((np.bitwise_and, rows), (np.bitwise_and, [~x for x in rows])))
+    shared = (ones[0] | zeros[0])[:, None] & (ones[1] | zeros[1])[None]
+    apart = np.bitwise_count((ones[0][:, None] ^ ones[1][None]) & shared).cumsum(axis=2, dtype=np.int64)[:, :, -1]
+    i, j = np.nonzero(apart <= LIMITS[-1])
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for at in range(0, len(i), 256):
+        x, y = i[at : at + 256], j[at : at + 256]
+        differ = np.bitwise_count(rows[0][x][:, :, None, turn[0]] ^ rows[1][y][:, None, :, turn[0]])
+        pair, u, v = np.nonzero(differ <= LIMITS[0])
+        total = differ[pair, u, v].astype(np.int64)
+        p, q = x[pair] * SUB + u, y[pair] * SUB + v
+        real = (p < len(a)) & (q < len(b))
+        p, q, total = p[real], q[real], total[real]
+        for k in range(1, WIDE):
+            total = total + np.bitwise_count(a[p, turn[k]] ^ b[q, turn[k]])
+            p, q, total = (z[total <= LIMITS[k]] for z in (p, q, total))
+        found.append((p, q))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, t: int, forest: bool, inner: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes ``(smaller, larger)`` of the candidates of a leaf ``y`` with the leaf ``x`` before it, and with itself
+    (``inner``). Rows of leaves: node, size, group and the fingerprint."""
+    both = np.concatenate((x, y)) if inner else x
+    if not len(both) or not len(y):
+        return (np.zeros(0, np.int64),) * 2
+    i, j = within(both[:, 3:].view(np.uint64), y[:, 3:].view(np.uint64), t % WIDE)
+    j, both = j + len(x), np.concatenate((x, y))
+    keep = (i < j) & (5 * both[i, 1] >= 4 * both[j, 1]) & (5 * both[j, 1] >= 4 * both[i, 1]) & (both[i, 2] != both[j, 2])
+    i, j = i[keep], j[keep]
+    if forest:
+        i, j = stars(i, j, len(both))
+    return np.minimum(both[i, 0], both[j, 0]), np.maximum(both[i, 0], both[j, 0])
+
+
+def candidates(prints: DataFrame, orders: int, forest: bool, path: str) -> DataFrame:
+    """``a, b``: pairs of nodes within the limits that meet in one of the orders, and whose sizes allow the similarity.
+    ``forest``: only as many of a leaf's pairs as connect its nodes. Otherwise only pairs of different ``group``."""
+    spark = prints.sparkSession
+    names = [f"f{k}" for k in range(WIDE)]
+    turns = -(-orders // WIDE)  # rotations of each word
+    ranks = []
+    for t in range(orders):
+        f, r = F.col(names[t % WIDE]), (t // WIDE) * 64 // turns
+        ranks.append(F.struct(F.lit(t).alias("t"), gray_rank(F.shiftleft(f, r).bitwiseOR(F.shiftrightunsigned(f, 64 - r)) if r else f).alias("rank")))
+    group = F.col("node") if forest else F.col("group")
+    rows = prints.select("node", "size", group.alias("group"), *names, F.explode(F.array(*ranks)).alias("o")).select("o.t", "o.rank", "node", "size", "group", *names)
+    parts = max(1, min(common.shuffle_partitions(spark), prints.count() * orders // (16 * LEAF)))
+    placed = rows.repartitionByRange(parts, "t", "rank").sortWithinPartitions("t", "rank", "node")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int64()), ("head", pa.bool_()), ("t", pa.int32()), ("leaf", pa.binary())])
+
+    def run(batches):
+        part, first = TaskContext.get().partitionId(), True
+
+        def found(x, y, t):
+            a, b = _pairs(x, y, t, forest)
+            none = pa.nulls(len(a))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none.cast(f.type) for f in list(schema)[2:]]], schema=schema)
+
+        def edge(leaf, t, head):
+            return pa.RecordBatch.from_pylist([{"part": part, "head": head, "t": t, "leaf": leaf.tobytes()}], schema)
+
+        none = np.zeros((0, 3 + WIDE), np.int64)
+        held, before, order = none, none, None
+        for batch in batches:
+            ts = batch.column(0).to_numpy()
+            table = np.stack([batch.column(k).to_numpy() for k in range(1, 4 + WIDE)], axis=1)
+            cuts = [0, *(np.flatnonzero(ts[1:] != ts[:-1]) + 1).tolist(), len(ts)]
+            for p, q in zip(cuts, cuts[1:], strict=False):
+                if p == q:
+                    continue
+                if order is not None and ts[p] != order:
+                    if first:
+                        yield edge(held, order, True)
+                    yield found(before, held, order)
+                    held, before, first = none, none, False
+                order = int(ts[p])
+                held = np.concatenate((held, table[p:q]))
+                while len(held) >= LEAF:
+                    if first:
+                        yield edge(held[:LEAF], order, True)
+                    yield found(before, held[:LEAF], order)
+                    before, held, first = held[:LEAF], held[LEAF:], False
+        if order is not None:
+            if first:
+                yield edge(held, order, True)
+            yield found(before, held, order)
+            yield edge(np.concatenate((before, held))[-LEAF:], order, False)
+
+    out = common.table(placed.select("t", "node", "size", "group", *names).mapInArrow(run, "a long, b long, part long, head boolean, t int, leaf binary"), path)
+    edges = out.where("leaf IS NOT NULL").select("head", "t", "leaf", F.dense_rank().over(Window.orderBy("part")).alias("at"))  # two rows a partition
+    ends = edges.where("NOT head").select("t", (F.col("at") + 1).alias("at"), F.col("leaf").alias("x")).join(edges.where("head").select("t", "at", F.col("leaf").alias("y")), ["t", "at"])
+
+    def seams(batches):
+        for batch in batches:
+            for t, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = _pairs(*(np.frombuffer(z, np.int64).reshape(-1, 3 + WIDE) for z in (x, y)), t, forest, inner=False)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return nodes.select("node", "words").mapInArrow(run, "shingle long, node long, size long")
+    return out.where("a IS NOT NULL").select("a", "b").unionByName(ends.select("t", "x", "y").mapInArrow(seams, "a long, b long")).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -108,9 +226,14 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     items = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_words", "b_words")
 
     def run(batches):
+        last = (None, set())
         for batch in batches:
-            x, y = ([w.encode("utf-8", "surrogatepass") for w in batch.column(k).to_pylist()] for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array([similar(shingles(v), shingles(w)) for v, w in zip(x, y, strict=True)], pa.bool_()))
+            hits = []
+            for a, x, y in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if a != last[0]:
+                    last = (a, shingles(x.encode("utf-8", "surrogatepass")))
+                hits.append(similar(last[1], shingles(y.encode("utf-8", "surrogatepass"))))
+            yield batch.select([0, 1]).filter(pa.array(hits, pa.bool_()))
 
     return items.mapInArrow(run, "a long, b long")
 
@@ -118,29 +241,22 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_links(nodes: DataFrame, path: str) -> DataFrame:
     """``node, component`` of the nodes that are not their component's least; ``nodes`` has ``node, key, words``."""
     spark = nodes.sparkSession
-    alike = lambda x, y: (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
-    all_ = common.table(prefixes(nodes), f"{path}/prefixes")
-    ends = all_.groupBy("shingle").agg(F.min(F.struct("node", "size")).alias("lo"), F.max(F.struct("node", "size")).alias("hi")).where("lo.node <> hi.node")
-    shared = common.table(all_.join(ends, "shingle"), f"{path}/shared")
-    star = lambda end: shared.where((F.col("node") != F.col(f"{end}.node")) & alike("size", f"{end}.size")).select(F.least("node", f"{end}.node").alias("a"), F.greatest("node", f"{end}.node").alias("b"))
-    first = common.table(star("lo").unionByName(star("hi")).distinct(), f"{path}/first")
-    with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="64"):
+    small = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2000", "spark__sql__execution__arrow__maxBytesPerBatch": str(4 << 20)}
+    with common.settings(spark, **small):
+        prints = common.table(fingerprints(nodes), f"{path}/prints")
+    orders = orders_for(prints.count())
+    trees = components(common.table(candidates(prints, orders, True, f"{path}/leaves"), f"{path}/trees"))
+    first = common.table(trees.select(F.col("component").alias("a"), F.col("node").alias("b")), f"{path}/first")
+    with common.settings(spark, **small):
         links = common.table(verified(first, nodes), f"{path}/links")
-    found = components(links)
-    placed = shared.select("shingle", "node", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = common.table(placed, f"{path}/placed")
-    open_ = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    rest = common.table(placed.join(open_, "shingle"), f"{path}/rest")
-    side = lambda x: rest.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "component")])
-    pairs = side("a").join(side("b"), "shingle").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & alike("a_size", "b_size"))
-    counted = pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_size", "b_size").agg(F.count("*").alias("n"))
-    after = lambda x: F.ceil(F.col(x) * 4 / 5) - 1  # noqa: E731  # shingles after the prefix
-    second = counted.where(9 * (F.col("n") + F.greatest(after("a_size"), after("b_size"))) >= 4 * (F.col("a_size") + F.col("b_size"))).select("a", "b").join(first, ["a", "b"], "left_anti")
-    second = common.table(second, f"{path}/second")
-    with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="64"):
-        more = common.table(verified(second, nodes), f"{path}/more")
+    touched = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    grouped = prints.join(touched, "node").join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    rest = candidates(common.table(grouped, f"{path}/grouped"), orders, False, f"{path}/again").join(first, ["a", "b"], "left_anti")
+    rest = common.table(rest, f"{path}/rest")
+    with common.settings(spark, **small):
+        more = common.table(verified(rest, nodes), f"{path}/more")
     out = components(links.unionByName(more))
-    common.remove(spark, *[f"{path}/{x}" for x in ("prefixes", "shared", "first", "links", "placed", "rest", "second", "more")])
+    common.remove(spark, *[f"{path}/{x}" for x in ("prints", "leaves", "again", "trees", "first", "links", "grouped", "rest", "more")])
     return out
 
 
