@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,13 +18,19 @@ WORD = rf"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder that the cluster shares, named by ``spark.checkpoint.dir``. Where that is unset, the folder that the
+    session was given by ``setCheckpointDir``; on one machine (``local``) a folder of our own, and else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if not base and not current.isEmpty():
+        base = current.get()
     if not base:
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/vellum-{context.applicationId}"
+    if current.isEmpty():
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 

@@ -177,28 +177,45 @@ def link_fingerprints(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return components(links)
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` per row of ``docs``; ``component_id`` is the least doc_id that links reach."""
+def _grouped(docs: DataFrame, distance: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` per row, and ``fp, group, component_id`` per fingerprint: fingerprints are the nodes, so rows that share
+    an id but not the fingerprint are not linked by it."""
     spark = docs.sparkSession
     path = common.workdir(spark, "simhash")
     rows = common.table(fingerprints(docs, doc_id, text), f"{path}/rows")
-    distinct = common.table(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{path}/distinct")
-    found = link_fingerprints(distinct, distance).withColumnRenamed("node", "rep")
-    known = distinct.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = common.table(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least")), f"{path}/distinct")
+    found = link_fingerprints(distinct.select("fp", F.col("fp").alias("rep")), distance).withColumnRenamed("node", "fp")
+    grouped = common.table(distinct.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), f"{path}/grouped")
+    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    return rows, common.table(grouped.join(least, "group").select("fp", "group", "component_id"), f"{path}/known")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` per row of ``docs``; ``component_id`` is the least doc_id that links reach."""
+    rows, known = _grouped(docs, distance, doc_id, text)
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return rows.join(common.table(known, f"{path}/known"), "fp", "left").select("doc_id", "fp", component)
+    return rows.join(known, "fp", "left").select("doc_id", "fp", component)
 
 
 def keep_one(docs: DataFrame, distance: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group does: the one with the least doc_id, of repeated
-    rows one. Rows with a null doc_id belong to no group and stay."""
-    spark = docs.sparkSession
-    groups = near_duplicates(docs, distance, doc_id, text)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = common.table(kept, common.workdir(spark, "kept"))
-    stay = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id).cast("long") == F.col("__kept"), "left_semi")
-    once = stay.dropDuplicates([doc_id])
-    return once.unionByName(docs.where(F.col(doc_id).isNull()))
+    """The rows of ``docs`` that stay when one document of each group does: the one with the least doc_id, of equal ids that
+    of the least fingerprint, and of rows equal in both the one whose text sorts first. Rows with a null doc_id belong to
+    no group and stay."""
+    rows, known = _grouped(docs, distance, doc_id, text)
+    least = rows.where("doc_id IS NOT NULL").distinct().join(known, "fp").groupBy("group").agg(F.min(F.struct("doc_id", "fp")).alias("r"))
+    kept = common.table(least.select(F.col("r.doc_id").alias("id"), F.col("r.fp").alias("fp")), common.workdir(docs.sparkSession, "kept"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), rest.alias("row"))
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([fingerprint((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=["id", "text", "row", "fp"])
+
+    marked = packed.mapInArrow(run, f"id long, text string, row {docs.schema.simpleString()}, fp long")
+    order = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(F.to_json("row")))
+    once = marked.join(kept, ["id", "fp"], "left_semi").groupBy("id", "fp").agg(F.min_by("row", order).alias("row"))
+    return once.select("row.*").unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
