@@ -56,21 +56,75 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes,
     return gz.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + gz.flush()
 
 
+def headers(lines: list[str]) -> dict[str, str]:
+    """Header fields by their names in lower case; a line that starts with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def unchunk(body: bytes) -> bytes:
+    """A payload sent in chunks; what follows a broken size stays as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return b"".join(out) + body[at:]
+        if not size:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def digest_of(field: str | None) -> str | None:
+    """The SHA-1 of a digest field, written in base 32 or 16, in hex; null for another algorithm or none."""
+    kind, _, value = (field or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
+def page_of(name: str | None) -> int | None:
+    """The page in a record id of our own; null for another's."""
+    found = re.fullmatch(r"<urn:x-page:(-?\d+)>", name or "")
+    return int(found[1]) if found else None
+
+
 def parse(raw: bytes) -> dict:
-    """The fields of an inflated record."""
+    """The fields of an inflated record of any kind and writer. A response's payload is what its HTTP message carries; of
+    other records it is their block. Digests are checked where the record is one of our own."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/1."):
+    version, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if not version.startswith("WARC/1."):
         raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    body = rest[: int(fields["Content-Length"])]
-    http, _, payload = body.partition(b"\r\n\r\n")
-    number = lambda key: None if (x := fields.get(key, "<urn:x-page:none>")[12:-1]) == "none" else int(x)
-    n_bytes = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    digest = base64.b32decode(fields["WARC-Payload-Digest"][5:])
-    if fields["WARC-Type"] == "response" and (len(payload) != n_bytes or hashlib.sha1(payload).digest() != digest):
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its headers")
-    return {"page_id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload": payload, "payload_bytes": n_bytes, "payload_digest": digest.hex(), "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To")}
+    fields = headers(lines)
+    length = int(fields.get("content-length", len(rest)))
+    kind, name, body, http = fields.get("warc-type", "").lower(), fields.get("warc-record-id"), rest[:length], {}
+    if len(body) < length:
+        raise ValueError(f"record {name} ends early")
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        lead, _, body = body.partition(b"\r\n\r\n")
+        http = headers(lead.decode("utf-8", "replace").split("\r\n")[1:])
+        if http.get("transfer-encoding", "").lower() == "chunked":
+            body = unchunk(body)
+    digest, own = digest_of(fields.get("warc-payload-digest")), (name or "").startswith("<urn:x-page:")
+    n_bytes = int(http["content-length"]) if http.get("content-length", "").isdigit() and (own or kind == "revisit") else len(body)
+    if own and kind == "response" and (len(body) != n_bytes or hashlib.sha1(body).hexdigest() != digest):
+        raise ValueError(f"payload of {name} does not match its headers")
+    if digest is None and kind == "response":
+        digest = hashlib.sha1(body).hexdigest()
+    return {"page_id": page_of(name), "record_id": name, "url": fields.get("warc-target-uri"), "payload": body, "payload_bytes": n_bytes, "payload_digest": digest, "record_type": kind, "refers_to": page_of(fields.get("warc-refers-to"))}
 
 
 def inflate(window: Window, start: int) -> tuple[bytes, int]:
@@ -170,17 +224,21 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     return common.table(marked.mapInArrow(write, "path string, n_bytes long, n_records long"), f"{path}.manifest")
 
 
-def read_archives(manifest: DataFrame, with_payload: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of every record of the archives."""
-    splits = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+def read_archives(manifest: DataFrame, with_payload: bool = True, split_bytes: int = SPLIT_BYTES, kinds: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
+    """``page_id, record_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of every record of these
+    kinds in the archives. ``manifest`` has the ``path`` and ``n_bytes`` of each; other writers' archives are read as well,
+    their records have no page_id. Empty files have no records."""
+    splits = manifest.where("n_bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     n = max(common.shuffle_partitions(manifest.sparkSession), 1)
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), *[("payload", pa.binary())] * with_payload, ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), *[("payload", pa.binary())] * with_payload, ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches):
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held, size = [], 0
                 for r in read_split(path, start, start + split_bytes):
+                    if r["record_type"] not in kinds:
+                        continue
                     held.append({k: r[k] for k in schema.names})
                     size += len(r["payload"]) if with_payload else 200
                     if size > 4 << 20:
