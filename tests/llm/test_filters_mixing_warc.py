@@ -62,6 +62,37 @@ def test_no_document_is_dropped_without_a_budget(spark):
     assert {(r.doc_id, r.text) for r in out.collect()} == {(r.doc_id, r.text) for r in d.collect()}
 
 
+def test_repeated_rows_draw_a_number_each(spark):
+    """Rows equal in all columns: together they are drawn as often as the plan says, not each as often as the most."""
+    rows = [(k // 4, " ".join(["w"] * (3 + k // 4 % 5)), "big" if k % 3 else "small") for k in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"__k": F.lit(1), "__a": F.lit("x"), "copies": F.lit(2)})
+    how = {"budget_share": (13, 10), "target_entropy": 0.68, "block_tokens": 40}
+    plan = mixing.mix(d, **how).groupBy("source").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("n_tokens")).alias("t")).orderBy("source").collect()
+    out = mixing.repeat(d, **how)
+    assert out.columns == d.columns
+    got = out.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", " "))).alias("t")).orderBy("source").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in plan] and len(plan) == 2
+
+
+def test_exponent_is_that_of_bisection(spark):
+    tokens = {"a": 5000, "b": 300, "c": 20, "d": 1}
+    s = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+
+    def entropy(alpha):
+        w = [(n / sum(tokens.values())) ** alpha for n in tokens.values()]
+        return -sum(x / sum(w) * math.log(x / sum(w)) for x in w)
+
+    low, high = 0.0, 1.0
+    for _ in range(24):
+        mid = (low + high) / 2
+        low, high = (mid, high) if entropy(mid) >= 1.1 else (low, mid)
+    assert mixing.find_alpha(s, target_entropy=1.1) == round(low, 6)
+    alpha = mixing.find_alpha(s, max_passes=3.0)
+    w = {k: (n / 5321) ** alpha for k, n in tokens.items()}
+    passes = max(w[k] / n for k, n in tokens.items()) / min(w[k] / n for k, n in tokens.items())
+    assert abs(passes - 3) < 0.01 and mixing.find_alpha(s, target_entropy=2.0) == 0.0 and mixing.find_alpha(s, max_passes=1.0) == 1.0
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     big, other = "<p>é" * 400, "<b>x" * 500
@@ -94,3 +125,26 @@ def test_false_magic_is_not_a_member(tmp_path):
     (tmp_path / "y.warc.gz").write_bytes(one[:-10])
     with pytest.raises(ValueError):
         list(warc.read_split(str(tmp_path / "y.warc.gz"), 0, 10**6))
+
+
+FOREIGN = [
+    b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields\r\nContent-Length: 10\r\n\r\nsoftware: \r\n\r\n",
+    b"WARC/1.0\r\nwarc-type:request\r\nWARC-Record-ID:<urn:uuid:2>\r\nWARC-Target-URI: http://a/\r\nContent-Type: application/http;msgtype=request\r\nContent-Length: 18\r\n\r\nGET / HTTP/1.1\r\n\r\n\r\n\r\n",
+    b"WARC/1.0\r\nWARC-TYPE:response\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Target-URI:http://a/\r\nX-Long: one\r\n  two\r\nContent-Type: application/http; msgtype=response\r\nContent-Length:72\r\n\r\nHTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n3\r\nabc\r\n2;x\r\nde\r\n0\r\n\r\n\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:4>\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:5>\r\nWARC-Payload-Digest: sha1:A9993E364706816ABA3E25717850C26C9CD0D89D\r\nContent-Type: application/http\r\nContent-Length: 43\r\n\r\nHTTP/1.0 200 OK\r\nContent-Length: 999\r\n\r\nabc",
+]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import hashlib
+
+    FOREIGN[2] = FOREIGN[2].replace(b"Content-Length:72", b"Content-Length:%d" % (len(FOREIGN[2].partition(b"\r\n\r\n")[2]) - 4))
+    data = b"".join(map(gzip.compress, FOREIGN))
+    (tmp_path / "z.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/z.warc.gz", len(data))], "path string, n_bytes long")
+    for split in (100, 1 << 20):
+        got = sorted((r.record_id, r.url, bytes(r.payload), r.payload_digest) for r in warc.read_archives(manifest, split_bytes=split).collect())
+        assert got == [("<urn:uuid:3>", "http://a/", b"abcde", hashlib.sha1(b"abcde").hexdigest()), ("<urn:uuid:5>", None, b"abc", hashlib.sha1(b"abc").hexdigest())]
+    every = warc.read_archives(manifest, kinds=("warcinfo", "request", "response", "metadata")).collect()
+    assert sorted(r.record_type for r in every) == ["metadata", "request", "response", "response", "warcinfo"] and all(r.page_id is None for r in every)

@@ -7,8 +7,8 @@ part the source's documents are dealt by hash into blocks of about ``block_token
 order, blocks are taken whole while they fit, and of the next block the documents that fit, again in hashed order.
 
 All of it is DataFrame expressions. Totals are combined before the shuffle, so a source that holds most rows costs no
-more than another. Running sums go over blocks (one row for each ``block_tokens``), and over documents only inside the
-one boundary block of each source. Each step of the bisection is one aggregate of one row over the table of sources.
+more than another. Running sums go over blocks (one row for each ``block_tokens``), in two levels, and over documents only
+inside the one boundary block of each source. Six halvings of the bisection are one aggregate over the table of sources.
 
 Null sources and ``''`` are one source. Null or wordless texts have no tokens; they follow their source's whole passes
 and cost nothing in the partial one. Equal documents are told apart by their rows, so repeated rows are drawn
@@ -17,6 +17,8 @@ separately. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,42 +27,49 @@ from vellum.llm import common
 
 #: Halvings of [0, 1] for the exponent, which is then rounded to 6 digits.
 BISECTIONS = 24
+#: Halvings that one aggregate serves.
+LEVELS = 6
+#: Leading hexadecimal digits of a block's place in the order, by which running sums are split.
+SPLIT = 2
 #: Weights are integers out of this many, so that quotas do not hang on the last bits of a logarithm.
 PARTS = 1_000_000
 
 
-def _measure(sources: DataFrame, alpha: float, budget: float | None) -> tuple[float, float]:
-    """Entropy of the weights in nats, and the passes that the most repeated source makes."""
-    total = sources.agg(F.sum("tokens").cast("double").alias("all")).first()["all"]
-    w = F.pow(F.col("tokens") / F.lit(total), F.lit(alpha))
-    row = sources.agg(
-        F.sum(w).alias("z"), F.sum(w * F.ln(w)).alias("wlw"), F.max(w / F.col("tokens")).alias("most"), F.min(w / F.col("tokens")).alias("least")
-    ).first()
-    entropy = float("nan") if not row["z"] else _log(row["z"]) - row["wlw"] / row["z"]
-    tokens = (row["z"] / row["least"]) if budget is None else budget
-    return entropy, tokens * row["most"] / row["z"]
-
-
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
+def _measure(sources: DataFrame, total: float, alphas: list[float], budget: float | None) -> list[tuple[float, float]]:
+    """For each exponent the entropy of the weights in nats, and the passes that the most repeated source makes: one
+    aggregate for all of them."""
+    w = F.pow(F.col("tokens") / F.lit(total), F.col("alpha"))
+    tried = sources.select("tokens", F.posexplode(F.array(*map(F.lit, alphas))).alias("at", "alpha")).withColumn("w", w)
+    each = tried.groupBy("at").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.ln("w")).alias("wlw"), F.max(F.col("w") / F.col("tokens")).alias("most"), F.min(F.col("w") / F.col("tokens")).alias("least"))
+    found = {r["at"]: r for r in each.collect()}  # a row for each exponent
+    out = []
+    for k in range(len(alphas)):
+        r = found[k]
+        tokens = r["z"] / r["least"] if budget is None else budget
+        out.append((math.log(r["z"]) - r["wlw"] / r["z"], tokens * r["most"] / r["z"]))
+    return out
 
 
 def find_alpha(sources: DataFrame, target_entropy: float | None = None, max_passes: float | None = None, budget: float | None = None) -> float:
     """The largest exponent that reaches ``target_entropy`` (in nats), or the smallest that keeps within ``max_passes``.
 
     ``sources``: ``source, tokens`` with tokens above zero. With no ``budget`` it is the least one that uses every
-    source in full once. Out of reach: the end of [0, 1] that comes closest.
+    source in full once. Out of reach: the end of [0, 1] that comes closest. ``LEVELS`` halvings share an aggregate: all
+    the points that they could ask about are measured together.
     """
+    total = float(sources.agg(F.sum("tokens").alias("all")).first()["all"])
     low, high = 0.0, 1.0
-    for _ in range(BISECTIONS):
-        mid = (low + high) / 2
-        entropy, passes = _measure(sources, mid, budget)
-        if target_entropy is not None:
-            low, high = (mid, high) if entropy >= target_entropy else (low, mid)
-        else:
-            low, high = (low, mid) if passes <= max_passes else (mid, high)
+    for _ in range(BISECTIONS // LEVELS):
+        step = (high - low) / (1 << LEVELS)
+        points = [low + k * step for k in range(1, 1 << LEVELS)]
+        measured = dict(zip(points, _measure(sources, total, points, budget), strict=True))
+        for _ in range(LEVELS):
+            mid = (low + high) / 2
+            entropy, passes = measured[mid]
+            if target_entropy is not None:
+                low, high = (mid, high) if entropy >= target_entropy else (low, mid)
+            else:
+                low, high = (low, mid) if passes <= max_passes else (mid, high)
     return round(low if target_entropy is not None else high, 6)
 
 
@@ -94,7 +103,7 @@ def mix(docs: DataFrame, *, budget: int | None = None, budget_share: tuple[int,
         budget = (known.agg(F.sum("tokens").alias("t")).first()["t"] or 0) * budget_share[0] // budget_share[1]
     if found := known.agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).first():
         if entropy_share is not None and found["n"]:
-            target_entropy = entropy_share * _log(found["n"])
+            target_entropy = entropy_share * math.log(found["n"])
         if found["n"] > 1 and (target_entropy is not None or max_passes is not None):
             alpha = find_alpha(known, target_entropy, max_passes, budget)
     q = weights(known, alpha)
@@ -108,9 +117,14 @@ def mix(docs: DataFrame, *, budget: int | None = None, budget_share: tuple[int,
     head = F.conv(F.substring("key", 1, 12), 16, 10).cast("long")
     dealt = rows.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, "source", "left").withColumn("block", F.coalesce(head % F.col("n_blocks"), F.lit(0)))
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("rest"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("block"), "block")), "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("block"), "block"))).withColumn("lead", F.substring("place", 1, SPLIT))
+    leads = blocks.groupBy("source", "lead").agg(F.sum("size").alias("size"))  # 16 ** SPLIT rows for each source at most
+    ahead = Window.partitionBy("source").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+    leads = leads.select("source", "lead", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("source", "lead").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     left = F.col("rest") - F.col("before")
-    placed = blocks.withColumn("before", before).select("source", "block", left.alias("left"), (left >= F.col("size")).alias("whole"), ((left > 0) & (left < F.col("size"))).alias("boundary"))
+    placed = blocks.join(leads, ["source", "lead"]).withColumn("before", before).select("source", "block", left.alias("left"), (left >= F.col("size")).alias("whole"), ((left > 0) & (left < F.col("size"))).alias("boundary"))
     placed = common.table(placed, f"{path}/blocks")
     whole = placed.where("whole").select("source", "block", F.lit(True).alias("in_whole"))
     edge = placed.where("boundary").select("source", "block", "left")
@@ -127,16 +141,17 @@ def mix(docs: DataFrame, *, budget: int | None = None, budget_share: tuple[int,
 def repeat(docs: DataFrame, **how) -> DataFrame:
     """The mixture's rows: every row of ``docs`` as often as ``mix(docs, **how)`` uses it, with all its columns.
 
-    Numbers are joined by id, source and number of words, so rows that repeat an id keep their own; rows equal in all
-    three draw the larger of their numbers.
+    Numbers are joined by id, source and number of words. Rows equal in all three are numbered on both sides, so that each
+    number of copies is used for one row.
     """
-    doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
-    source = how.get("source", "source")
-    plan = mix(docs, **how).groupBy("doc_id", "source", "n_tokens").agg(F.max("copies").alias("__copies"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("n_tokens").alias("__n"), "__copies")
-    marked = docs.withColumns({"__a": F.col(doc_id).cast("long"), "__b": F.coalesce(F.col(source), F.lit("")), "__c": common.n_words(F.col(text))})
-    drawn = marked.join(plan, F.col("__a").eqNullSafe(F.col("__id")) & (F.col("__b") == F.col("__source")) & (F.col("__c") == F.col("__n")))
-    return drawn.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__k")).drop("__k")
+    doc_id, text, source = how.get("doc_id", "doc_id"), how.get("text", "text"), how.get("source", "source")
+    number = lambda order: F.row_number().over(Window.partitionBy("id", "source", "n").orderBy(order))
+    plan = mix(docs, **how).select(F.col("doc_id").alias("id"), "source", F.col("n_tokens").alias("n"), "copies").withColumn("k", number("copies"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), common.n_words(F.col(text)).alias("n"), F.xxhash64(F.col(text)).alias("place"), row)
+    marked = marked.withColumn("k", number("place"))
+    drawn = marked.alias("m").join(plan.alias("p"), F.col("m.id").eqNullSafe(F.col("p.id")) & (F.col("m.source") == F.col("p.source")) & (F.col("m.n") == F.col("p.n")) & (F.col("m.k") == F.col("p.k")))
+    return drawn.where("copies > 0").select("m.row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
