@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.plans import texts  # noqa: F401  registers its queries
+from vellum.plans import layouts, texts  # noqa: F401  register their queries
 from vellum.plans.relational import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
