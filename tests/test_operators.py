@@ -17,8 +17,15 @@ def test_tabular(spark):
     events = spark.createDataFrame([("a", "view", 1), ("a", "purchase", 2), ("b", "view", 1), ("c", "purchase", 3)], "user string, event string, ts int")
     assert tabular.conversion(events, "user", F.col("event") == "purchase").first().rate == pytest.approx(2 / 3)
     assert tabular.conversion(events.limit(0), "user", F.col("event") == "purchase").first().rate is None
-    first, rest = tabular.split_by_position(spark.range(10), "id", 0.8)
-    assert first.count() + rest.count() == 10
+    for share, want in ((0.8, 8), (0.0, 0), (1.0, 10), (0.55, 5)):
+        first, rest = tabular.split_by_position(spark.range(10), "id", share)
+        assert sorted(r.id for r in first.collect()) == list(range(want)) and sorted(r.id for r in rest.collect()) == list(range(want, 10))
+    ties = spark.createDataFrame([(k, None if k < 2 else 7 if k < 9 else 9) for k in range(10)], "k int, x int")
+    for share in (0.1, 0.2, 0.5, 0.95):
+        first, rest = tabular.split_by_position(ties, "x", share)
+        assert first.count() == int(10 * share) and {r.k for r in first.collect()} | {r.k for r in rest.collect()} == set(range(10)) and first.columns == ["k", "x"]
+    twice = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("b", 2, "z")], "k string, t int, v string")
+    assert {tuple(r) for r in tabular.latest(twice, "k", "t").collect()} == {("a", 1, "y"), ("b", 2, "z")}
     assert tabular.describe(products, "price").count() == 8
 
 
@@ -31,6 +38,9 @@ def test_matrix(spark):
     assert dense(matrix.combine(m, m, lambda x, y: x * y)) == want(a * a) and dense(matrix.elementwise(m, lambda v: matrix.clip(v, 2, 5))) == want(a.clip(2, 5))
     row = spark.createDataFrame([(j, float(j)) for j in range(3)], "j long, r double")
     assert dense(matrix.broadcast_row(m, row, lambda v, r: v + r)) == want(a + np.arange(3))
+    for wrong in (matrix.broadcast_row(m, row.where("j < 2"), lambda v, r: v), matrix.broadcast_row(m.where("j < 2"), row, lambda v, r: v), matrix.reshape(m, 3, 4)):
+        with pytest.raises(Exception, match="shapes differ"):
+            wrong.collect()
     with pytest.raises(Exception, match="shapes differ"):
         matrix.combine(m, m.where("j < 2"), lambda x, y: x).collect()
     assert [r.total for r in matrix.reduce(m, 0).orderBy("j").collect()] == a.sum(0).tolist() and matrix.reduce(m).first().mean == a.mean()

@@ -49,7 +49,7 @@ def lines(c: Column) -> Column:
 
 
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return s.map(lambda x: x if x is None or x.isascii() or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
 
 
 #: Unicode compatibility composition, which Spark has no built-in function for.

@@ -26,13 +26,19 @@ def fingerprint(df: DataFrame, key: str) -> Column:
 
 
 def compare(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``key, status`` (added, removed, same or changed) of every id: one full outer join of ids and hashes."""
+    """``key, status`` (added, removed, same or changed) of every id: one full outer join of ids and hashes. Of records that
+    repeat an id the one with the greatest hash counts; ``repeated_ids`` tells them."""
     side = lambda df, name: df.select(F.col(key).cast("string").alias("id"), fingerprint(df, key).alias(name)).groupBy("id").agg(F.max(name).alias(name))
     both = side(old, "old").join(side(new, "new"), "id", "full_outer")
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "same").otherwise("changed")
     return both.select(F.col("id").alias(key), status.alias("status"))
 
 
+def repeated_ids(df: DataFrame, key: str) -> DataFrame:
+    """``key, records``: ids that several records have."""
+    return df.groupBy(key).agg(F.count("*").alias("records")).where("records > 1")
+
+
 def summary(compared: DataFrame, key: str) -> DataFrame:
     """One row: counts, ratio of identical records, and the first ids that differ."""
     count = lambda *s: F.count_if(F.col("status").isin(*s))

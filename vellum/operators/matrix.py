@@ -41,13 +41,18 @@ def combine(a: DataFrame, b: DataFrame, f) -> DataFrame:
 
 
 def broadcast_row(m: DataFrame, row: DataFrame, f) -> DataFrame:
-    """``f(v, r)`` with a vector ``(j, r)`` along every row."""
-    return m.join(row, "j", "left").select("i", "j", f(F.col("v"), F.col("r")).alias("v"))
+    """``f(v, r)`` with a vector ``(j, r)`` along every row; a vector of another length raises."""
+    return _along(m, row, "j", f)
+
+
+def _along(m: DataFrame, vector: DataFrame, axis: str, f) -> DataFrame:
+    fits = F.when(F.col("v").isNotNull() & F.col("r").isNotNull(), f(F.col("v"), F.col("r"))).otherwise(F.raise_error(F.lit("shapes differ")).cast("double"))
+    return m.join(vector, axis, "full_outer").select("i", "j", fits.alias("v"))
 
 
 def broadcast_column(m: DataFrame, column: DataFrame, f) -> DataFrame:
-    """``f(v, r)`` with a vector ``(i, r)`` along every column."""
-    return m.join(column, "i", "left").select("i", "j", f(F.col("v"), F.col("r")).alias("v"))
+    """``f(v, r)`` with a vector ``(i, r)`` along every column; a vector of another length raises."""
+    return _along(m, column, "i", f)
 
 
 def transpose(m: DataFrame) -> DataFrame:
@@ -55,9 +60,11 @@ def transpose(m: DataFrame) -> DataFrame:
 
 
 def reshape(m: DataFrame, columns: int, new_columns: int) -> DataFrame:
-    """The same cells in row order with another number of columns."""
+    """The same cells in row order with another number of columns, which must divide the number of cells."""
     at = F.col("i") * columns + F.col("j")
-    return m.select(F.floor(at / new_columns).cast("long").alias("i"), (at % new_columns).alias("j"), "v")
+    cells = m.agg(F.coalesce((F.max("i") + 1) * columns, F.lit(0)).alias("cells"))  # one row
+    whole = m.join(F.broadcast(cells)).where(F.when(F.col("cells") % new_columns == 0, True).otherwise(F.raise_error(F.lit("shapes differ")).cast("boolean")))
+    return whole.select(F.floor(at / new_columns).cast("long").alias("i"), (at % new_columns).alias("j"), "v")
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:

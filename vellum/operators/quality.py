@@ -161,6 +161,15 @@ AUDIT_PARENT = "parent_id string, title string"
 AUDIT_UNIT = "unit_id string, kind string, text string"
 
 
+#: Examples that an audit gives of each kind.
+EXAMPLES = 10
+
+
+def _listed(few: DataFrame, item: Column, name: str) -> DataFrame:
+    """One row with the ``x`` of a few items, in the order of their ids."""
+    return few.agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s.x).alias(name))
+
+
 def audit(children: DataFrame, parents: DataFrame, units: DataFrame | None = None, min_tokens: int = 180, target_tokens: int = 500, max_tokens: int = 800) -> DataFrame:
     """One row that judges stored chunks: counts, ratios (6 digits), percentiles (3 digits), examples and a verdict."""
     c = children.withColumn("__on", F.coalesce("metadata.index_enabled", F.lit(True))) if "metadata" in children.columns else children.withColumn("__on", F.lit(True))
@@ -177,20 +186,20 @@ def audit(children: DataFrame, parents: DataFrame, units: DataFrame | None = Non
         program = a.agg(
             F.count("*").alias("python_code_unit_count"), ratio(F.col("a.ast_parseable")).alias("python_ast_parseable_ratio"), ratio(F.col("a.indentation_issues") > 0).alias("code_indentation_issue_ratio"),
             ratio(F.col("a.split_identifiers") > 0).alias("split_identifier_candidate_ratio"), ratio(F.col("a.boundary_violations") > 0).alias("function_boundary_violation_ratio"),
-            F.slice(F.array_compact(F.collect_list("a.syntax_error")), 1, 10).alias("python_syntax_errors"),
         )
+        wrong = a.where("a.syntax_error IS NOT NULL").orderBy("unit_id").limit(EXAMPLES)
+        program = program.join(F.broadcast(_listed(wrong, F.struct("unit_id", F.col("a.syntax_error").alias("x")), "python_syntax_errors")))
     else:
         ev = ev.withColumn("is_code", F.lit(None).cast("boolean"))
     mid = F.col("is_code").isNull() & T.starts_mid_sentence(T.squeeze(F.col("t")))
     r6 = lambda x: F.bround(x, 6)
-    first = lambda cond, what, n: F.transform(F.slice(F.array_sort(F.collect_list(F.when(cond, F.struct("child_id", what.alias("x"))))), 1, n), lambda s: s.x)
-    shortest = F.slice(F.array_sort(F.collect_list(F.struct(F.col("n").alias("tokens"), "child_id", F.substring("t", 1, 100).alias("text")))), 1, 10)
+    first = lambda cond, size, name: _listed(ev.where(cond).orderBy("child_id").limit(EXAMPLES), F.struct("child_id", F.substring("t", 1, size).alias("x")), name)
+    shortest = ev.orderBy("n", "child_id").limit(EXAMPLES).agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("tokens"), "child_id", F.substring("t", 1, 100).alias("text")))).alias("short_children"))
     one = ev.agg(
         F.count("*").alias("indexable_child_count"), r6(duplicate_ratio(F.col("t"))).alias("duplicate_child_ratio"), r6(share(F.col("n") < 100)).alias("short_child_ratio_lt_100"), r6(share(F.col("n") < min_tokens)).alias("under_min_tokens_ratio"),
         r6(share(F.col("n") > target_tokens)).alias("over_target_tokens_ratio"), F.count_if(F.col("n") > max_tokens).alias("over_max_tokens_count"), r6(share(F.coalesce(F.size("heading_path"), F.lit(0)) <= 1)).alias("flat_heading_path_ratio"),
         r6(share(mid)).alias("mid_sentence_start_ratio"), r6(share(T.has_broken_cjk_line(F.col("t")))).alias("broken_line_candidate_ratio"),
         *[F.bround(F.coalesce(x, F.lit(0)).cast("double"), 3).alias(f"child_token_{name}") for x, name in zip(percentiles(F.col("n")), ["min", *PERCENTILES, "max"], strict=True)],
-        shortest.alias("short_children"), first(mid, F.substring("t", 1, 120), 10).alias("mid_sentence_starts"), first(T.has_broken_cjk_line(F.col("t")), F.substring("t", 1, 160), 10).alias("broken_line_candidates"),
     )
     kids = ev.groupBy("parent_id").agg(F.count("*").alias("kids"))
     p = parents.join(kids, "parent_id", "left").fillna(0, ["kids"])
@@ -200,7 +209,7 @@ def audit(children: DataFrame, parents: DataFrame, units: DataFrame | None = Non
         F.count("*").alias("indexable_parent_count"), r6(share(F.col("kids") == 1)).alias("single_child_parent_ratio"), F.count_if(T.strip(F.col("title")).rlike(MULTI_LEVEL)).alias("multi_level_numbered_parent_count"),
         r6(share(T.is_suspicious_heading(F.col("title")))).alias("suspicious_heading_ratio"), F.coalesce(F.percentile("kids", 0.5), F.lit(0.0)).alias("children_per_parent_median"),
     )
-    rows = [one, two, children.agg(F.count("*").alias("child_count")), parents.agg(F.count("*").alias("parent_count")), *([program] if program is not None else [])]
+    rows = [one, shortest, first(mid, 120, "mid_sentence_starts"), first(T.has_broken_cjk_line(F.col("t")), 160, "broken_line_candidates"), two, children.agg(F.count("*").alias("child_count")), parents.agg(F.count("*").alias("parent_count")), *([program] if program is not None else [])]
     key = F.lit(1).alias("__k")
     whole = reduce(lambda a, b: a.join(b.select("*", key), "__k"), rows[1:], rows[0].select("*", key)).drop("__k")
     if program is None:

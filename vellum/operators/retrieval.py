@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellum.functions import fixed, vectors
 from vellum.functions import text as T
@@ -21,13 +23,22 @@ def top_k(docs: DataFrame, query: list[float], k: int = 5, vector: str = "embedd
 
 
 def top_k_each(docs: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", ident: str = "vec_id", query_id: str = "query_id", block: int = 4096) -> DataFrame:
-    """Top ``k`` of every query of a stated, small set (checked: at most 10,000): tasks multiply blocks of vectors with
-    all queries and keep ``k`` each; a window merges the partial lists. ``query_id, ident, score, rank``."""
-    from pyspark.sql.window import Window
+    """Top ``k`` of every query: ``query_id, ident, score, rank``. Queries go to the tasks in blocks of about
+    ``QUERY_BLOCK``, by the hash of their ids; tasks multiply blocks of vectors with a block of queries and keep ``k`` each,
+    and a window merges the partial lists."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_top_k_block(docs, queries.where(part == b), k, vector, ident, query_id, block) for b in range(blocks)])
 
-    found = queries.select(query_id, vector).limit(10_001).collect()
-    if len(found) > 10_000:
-        raise ValueError("a query set holds at most 10,000 queries; search larger ones in blocks")
+
+#: Queries that go to the tasks together, about.
+QUERY_BLOCK = 5000
+
+
+def _top_k_block(docs: DataFrame, queries: DataFrame, k: int, vector: str, ident: str, query_id: str, block: int) -> DataFrame:
+    found = queries.select(query_id, vector).limit(4 * QUERY_BLOCK + 1).collect()
+    if len(found) > 4 * QUERY_BLOCK:
+        raise ValueError(f"more than {4 * QUERY_BLOCK} queries have ids that hash alike; ids are to be distinct")
     names, q = [r[0] for r in found], np.array([r[1] for r in found], float)
 
     def run(batches):

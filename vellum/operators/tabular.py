@@ -72,8 +72,9 @@ def last_per(df: DataFrame, key: str, order: str, ties: str) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, updated: str) -> DataFrame:
-    """The newest row of every key: an upsert log as a table."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(updated)))).where("__r = 1").drop("__r")
+    """The newest row of every key: an upsert log as a table. Of rows of one time that whose JSON sorts last counts."""
+    newest = Window.partitionBy(key).orderBy(F.desc(updated), F.desc(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    return df.withColumn("__r", F.row_number().over(newest)).where("__r = 1").drop("__r")
 
 
 def sequence_per(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
@@ -98,9 +99,24 @@ def all_available(joined: DataFrame, quantity: str, stock: str) -> DataFrame:
 
 
 def split_by_position(df: DataFrame, order: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """The first ``share`` of the rows and the rest, by value: the boundary is an exact percentile of the order column."""
-    at = df.agg(F.percentile(order, share)).first()[0]
-    return df.where(F.col(order) <= at), df.where(F.col(order) > at)
+    """The first ``share`` of the rows in the order of a column, rounded down, and the rest. Rows with the value at the
+    boundary, and only they, are numbered by their JSON to fill the first part up; nulls come first."""
+    df = df.withColumn("__at", F.col(order))
+    n = df.count()
+    wanted = int(n * share)
+    if wanted in (0, n):
+        whole, none = df.drop("__at"), df.drop("__at").where("false")
+        return (whole, none) if wanted else (none, whole)
+    nulls = df.where("__at IS NULL").count()
+    at = None if wanted <= nulls else df.agg(F.expr(f"percentile_disc({(wanted - nulls) / (n - nulls)!r}) WITHIN GROUP (ORDER BY __at)")).first()[0]
+    below = F.lit(False) if at is None else F.col("__at").isNull() | (F.col("__at") < F.lit(at))
+    room = wanted - df.where(below).count()
+    tied = F.col("__at").eqNullSafe(F.lit(at))
+    place = F.row_number().over(Window.partitionBy("__at").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    ties = df.where(tied).withColumn("__r", place)
+    first = df.where(below).unionByName(ties.where(F.col("__r") <= room).drop("__r"))
+    rest = df.where(~below & ~tied).unionByName(ties.where(F.col("__r") > room).drop("__r"))
+    return first.drop("__at"), rest.drop("__at")
 
 
 def describe(df: DataFrame, *columns: str) -> DataFrame:

@@ -456,12 +456,6 @@ def q_source_prefix(spark, d):
     return read(spark, d, "customer").select("c_custkey", T.source_prefix(F.col("c_name"), "child", path, F.lit(4), last).alias("prefix"))
 
 
-@query("SELECT c_custkey, 'x_' || left(sha256('a' || chr(31) || CAST(c_custkey AS STRING) || chr(31) || c_name), 24) AS ident FROM customer")
-def q_stable_ids(spark, d):
-    """F8: ids from what they stand for."""
-    return read(spark, d, "customer").select("c_custkey", T.stable_id("x", F.lit("a"), F.col("c_custkey"), F.col("c_name")).alias("ident"))
-
-
 @query("SELECT p_partkey, CAST((p_size + p_partkey) * 3 - p_size // 2 AS DOUBLE) AS value FROM part")
 def q_calculator(spark, d):
     """arithmetic expressions evaluated."""

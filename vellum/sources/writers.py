@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,14 @@ from pyspark.sql import functions as F
 from vellum.operators.tabular import latest
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); on one machine a temporary one, elsewhere an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    return (base or f"file://{tempfile.gettempdir()}/vellum-{spark.sparkContext.applicationId}").rstrip("/")
+
+
 def to_jsonl(df: DataFrame) -> DataFrame:
     """One column ``value`` with each row as JSON."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
