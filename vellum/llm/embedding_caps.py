@@ -225,3 +225,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
 def op9_embedding_caps(spark, sf_dir: str) -> DataFrame:
     """Every row of ``embeddings`` at cosine 0.95."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs compared, then what links reach; for small tables.
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+fine AS (SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM fine a JOIN fine b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach AS (SELECT r, r AS s FROM fine UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.s = links.a),
+comp AS (SELECT reach.r, min(f.vec_id) AS component_id FROM reach JOIN fine f ON f.r = reach.s GROUP BY reach.r),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.component_id, v.vec_id) AS component_id, coalesce(v.vec_id = c.component_id, true) AS kept
+FROM v LEFT JOIN comp c ON c.r = v.r LEFT JOIN n ON n.a = v.r
+"""

@@ -20,4 +20,6 @@ ORACLES = {
     "op1_url_filters": url_filters.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
+    "op9_embedding_caps": embedding_caps.OP9_SQL,
 }

@@ -432,3 +432,20 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """All ``documents``: matches of 50 bytes."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Windows of 50 bytes as hexadecimal digits, cut from pieces of a text of 305 bytes, which start 256 apart.
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT r, doc_id, a, substr(h, 2 * a + 1, 2 * 305) AS h FROM (SELECT r, doc_id, h, unnest(range(0, CAST(length(h) // 2 - 49 AS BIGINT), 256)) AS a FROM d)),
+w AS (SELECT r, doc_id, a + i AS i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT r, doc_id, a, h, unnest(range(CAST(length(h) // 2 - 49 AS BIGINT))) AS i FROM part)),
+f AS (SELECT w, min(doc_id) AS least FROM w GROUP BY w HAVING count(*) > 1),
+m AS (SELECT r, i FROM w JOIN f ON w.w = f.w AND w.doc_id > f.least),
+g AS (SELECT r, i, sum(CASE WHEN i > before THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 50, -1) AS before FROM m)),
+s AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY r, k),
+p AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, list({'a': a, 'b': b} ORDER BY a) AS cuts FROM s GROUP BY r),
+c AS (SELECT d.*, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed, list_concat([0], list_transform(coalesce(cuts, []), lambda x: x.b)) AS begins, list_concat(list_transform(coalesce(cuts, []), lambda x: x.a), [length(h) // 2]) AS ends FROM d LEFT JOIN p ON d.r = p.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(begins) + 1), lambda k: substr(h, 2 * begins[k] + 1, 2 * (ends[k] - begins[k]))), ''))) AS kept_sha256
+FROM c
+"""
