@@ -29,6 +29,49 @@ def test_language_model(spark):
     assert brown_lm.perplexity_scores(d.limit(0)).count() == 0
 
 
+def test_scores_are_the_models(spark):
+    """The score of every text, by a forward computation from the classes and counts alone."""
+    d = docs(spark, 120)
+    found = {}
+    original = brown_lm.cluster
+
+    def spy(*args):
+        out = original(*args)
+        found["class"] = {r["h"]: r["class"] for r in out.collect()}
+        return out
+
+    brown_lm.cluster = spy
+    try:
+        got = brown_lm.perplexity_scores(d).collect()
+    finally:
+        brown_lm.cluster = original
+    key = lambda i: "" if i is None else str(i)
+    texts = [(i, t.encode().lower().split()) for i, t in rows_of(d)]
+    hashes = dict(zip(words := sorted({w for _, t in texts for w in t}), brown_lm.word_hashes(words).tolist(), strict=True))
+    train = [t for i, t in texts if zlib.crc32(key(i).encode()) % 5 != 1]
+    count = Counter(w for t in train for w in t)
+    klass = lambda w: found["class"].get(hashes[w], brown_lm.RARE) if count[w] >= brown_lm.MIN_COUNT else brown_lm.RARE
+    assert len({klass(w) for w in words}) > 10
+    mass = Counter()
+    for w, n in count.items():
+        mass[klass(w)] += n
+    trans = np.full((brown_lm.ALL, brown_lm.ALL), brown_lm.ADD)
+    path = lambda t: [brown_lm.END, *map(klass, t), brown_lm.END]
+    for t in train:
+        for a, b in zip(path(t), path(t)[1:], strict=False):
+            trans[a, b] += 1
+    trans /= trans.sum(1, keepdims=True)
+    once = sum(n == 1 for n in count.values())
+    unknown = (once + brown_lm.ADD) / (mass[brown_lm.RARE] + once + 2 * brown_lm.ADD)
+
+    def emission(w):
+        return unknown if not count[w] else count[w] / mass[klass(w)] * ((1 - unknown) if klass(w) == brown_lm.RARE else 1)
+
+    want = sorted((key(i), round(sum(map(math.log10, map(emission, t))) + sum(math.log10(trans[a, b]) for a, b in zip(path(t), path(t)[1:], strict=False)), 6)) for i, t in texts)
+    assert sorted((key(r.doc_id), round(r.score, 6)) for r in got) == want
+    assert abs(trans.sum(1) - 1).max() < 1e-9 and all(abs(sum(emission(w) for w in count if klass(w) == c) + (unknown if c == brown_lm.RARE else 0) - 1) < 1e-9 for c in {klass(w) for w in count})
+
+
 def test_exchange_raises_mutual_information():
     rng = np.random.default_rng(0)
     cells = 2 * brown_lm.GROUPS

@@ -5,11 +5,13 @@ distinct words as 64-bit hashes with their training counts. From there only dist
 tokens: counts are summed by hash, and a block gets back the numbers of its own words. Words of at least ``MIN_COUNT``
 training tokens are clustered; rarer words share one class, the end of a text has one to itself.
 
-Exchange: every frequent word has counts of its neighbours' context groups on both sides (the ``TOP`` most frequent
-words and ``HASHED`` groups of all others). The classes start from the ``CLASSES`` most frequent words. In each sweep
-every task goes through its words, moves each to the class that raises the mutual information of class and context
-most, and sees its own moves at once and those of other tasks after the sweep. The class tables are bounded by classes
-times context groups; the words stay distributed.
+Exchange: every frequent word has counts of the classes of its neighbours on both sides. In each sweep every task goes
+through its words and moves each to the class that raises the mutual information of adjacent classes most. A task sees its
+own moves at once, those of other tasks after the sweep, and neighbours by the classes that they had before it; then the
+counts are taken anew. Sweeps end after ``SWEEPS`` of them, or when words of fewer than ``SETTLED`` of the tokens moved.
+As classes must start somewhere, the first sweep seeds them with the ``CLASSES`` most frequent words and describes
+neighbours by groups: the ``TOP`` most frequent words, and ``HASHED`` groups of all others. The tables are bounded by the
+square of the classes; the words stay distributed.
 
 Probability of a token: transition of its class from the class before it (counts smoothed by ``ADD``; a text starts
 after an end), times emission of the word by its class. The rare class keeps the share that words seen once have of it
@@ -30,7 +32,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vellum.llm import common
 
@@ -40,10 +41,11 @@ MIN_COUNT = 10
 #: Classes of frequent words; then the class of rare words and that of the end.
 CLASSES = 48
 RARE, END, ALL = CLASSES, CLASSES + 1, CLASSES + 2
-#: Context groups: most frequent words, hashed groups of others, and one for the end.
-TOP, HASHED = 32, 15
-GROUPS = TOP + HASHED + 1
-SWEEPS = 3
+#: Groups of neighbours: classes; in the first sweep frequent words, hashed groups of others, and one for the end.
+GROUPS = ALL
+TOP, HASHED = 32, GROUPS - 33
+#: Sweeps after the first one at most, and the share of tokens whose words moved below which there is no other.
+SWEEPS, SETTLED = 2, 0.01
 ADD = 0.5
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 3_000_000
@@ -150,17 +152,22 @@ def _groups(h: np.ndarray, top: dict[int, int]) -> np.ndarray:
     return out
 
 
-def contexts(blocks: DataFrame, frequent: DataFrame, top: dict[int, int]) -> DataFrame:
-    """``h, groups, counts`` per block and frequent word: its neighbours' context groups in training texts, left ones
-    first, as the bytes of the group numbers and of 32-bit counts."""
+def contexts(blocks: DataFrame, frequent: DataFrame, top: dict[int, int] | None) -> DataFrame:
+    """``h, groups, counts`` per block and frequent word: its neighbours' groups in training texts, left ones first, as the
+    bytes of the group numbers and of 32-bit counts. Groups are the classes that ``frequent`` brings, or follow from ``top``."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("h", pa.int64()), ("groups", pa.binary()), ("counts", pa.binary())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         row = {n: left.column(n)[0].as_py() for n in ("lengths", "held", "tokens", "hashes")}
-        group = _groups(np.frombuffer(row["hashes"], np.int64), top)
-        pos, h = _table_of(right, "pos", "h")
+        pos, h, cls = _table_of(right, "pos", "h", "class")
+        hashes = np.frombuffer(row["hashes"], np.int64)
+        if top is None:
+            group = np.full(len(hashes), RARE)
+            group[hashes == END_HASH], group[pos] = END, cls
+        else:
+            group = _groups(hashes, top)
         index = np.full(len(group), -1)
         index[pos] = np.arange(len(pos))
         tokens = unpack(row["tokens"])
@@ -183,7 +190,7 @@ def contexts(blocks: DataFrame, frequent: DataFrame, top: dict[int, int]) -> Dat
         return pa.Table.from_arrays([pa.array(h), groups, counts], schema=schema)
 
     rows = blocks.select("block", "lengths", "held", "tokens", "hashes")
-    return rows.groupBy("block").cogroup(frequent.select("block", "pos", "h").groupBy("block")).applyInArrow(run, "h long, groups binary, counts binary")
+    return rows.groupBy("block").cogroup(frequent.select("block", "pos", "h", "class").groupBy("block")).applyInArrow(run, "h long, groups binary, counts binary")
 
 
 def _sparse(groups, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,40 +273,65 @@ def exchange(row: np.ndarray, cell: np.ndarray, count: np.ndarray, old: np.ndarr
     return new
 
 
-def cluster(vectors: DataFrame, seeds: list[int], path: str) -> DataFrame:
-    """``h, class`` of every frequent word: seeded by the most frequent ones, then ``SWEEPS`` rounds of exchange."""
-    if not seeds:
-        return vectors.select("h", F.lit(0).alias("class"))
-    first = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in zip(seeds, range(len(seeds)), strict=True) for x in kv]), F.col("h")), F.lit(-1))
-    now = common.table(vectors.withColumn("class", first), f"{path}/classes0")
-
-    def totals(df: DataFrame) -> np.ndarray:
-        def run(batches):
-            table = np.zeros((CLASSES, 2 * GROUPS))
-            for b in batches:
-                cls = b.column("class").to_numpy()
-                r, c, n = _sparse(b.column("groups"), b.column("counts"))
-                live = cls[r] >= 0
-                np.add.at(table, (cls[r[live]], c[live]), n[live])
-            i, j = np.nonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(table[i, j].astype(np.int64))], names=["i", "j", "n"])
+def totals(words: DataFrame) -> np.ndarray:
+    """The table of classes by groups, from ``class, groups, counts`` of words in classes."""
 
+    def run(batches):
         table = np.zeros((CLASSES, 2 * GROUPS))
-        for r in df.mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # classes times groups
-            table[r["i"], r["j"]] = r["n"]
-        return table
+        for b in batches:
+            cls = b.column("class").to_numpy()
+            r, c, n = _sparse(b.column("groups"), b.column("counts"))
+            live = cls[r] >= 0
+            np.add.at(table, (cls[r[live]], c[live]), n[live])
+        i, j = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(table[i, j].astype(np.int64))], names=["i", "j", "n"])
+
+    table = np.zeros((CLASSES, 2 * GROUPS))
+    for r in words.select("class", "groups", "counts").mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # classes times groups
+        table[r["i"], r["j"]] = r["n"]
+    return table
 
-    for sweep in range(1, SWEEPS + 1):
-        table = totals(now)
 
-        def run(batches, table=table):
-            mine = table.copy()
-            for b in batches:
-                r, c, n = _sparse(b.column("groups"), b.column("counts"))
-                cls = exchange(r, c, n, b.column("class").to_numpy().astype(np.int64), mine)
-                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("groups"), b.column("counts"), pa.array(cls, pa.int32())], names=["h", "groups", "counts", "class"])
+def sweep(words: DataFrame, path: str) -> DataFrame:
+    """``h, class, moved``: the words ``h, groups, counts, class`` after a sweep, and the tokens of those that moved, twice."""
+    table = totals(words)
 
-        now = common.table(now.select("h", "groups", "counts", "class").mapInArrow(run, "h long, groups binary, counts binary, class int"), f"{path}/classes{sweep}")
+    def run(batches):
+        mine = table.copy()
+        for b in batches:
+            r, c, n = _sparse(b.column("groups"), b.column("counts"))
+            old = b.column("class").to_numpy().astype(np.int64)
+            new = exchange(r, c, n, old, mine)
+            moved = np.where(new != old, np.bincount(r, n, minlength=len(old)), 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(new, pa.int32()), pa.array(moved)], names=["h", "class", "moved"])
+
+    return common.table(words.select("h", "groups", "counts", "class").mapInArrow(run, "h long, class int, moved long"), path)
+
+
+def cluster(blocks: DataFrame, frequent: DataFrame, most: list[int], path: str) -> DataFrame:
+    """``h, class`` of every frequent word; ``frequent`` has ``block, pos, h``, ``most`` the most frequent words in order."""
+    spark = blocks.sparkSession
+    if not most:
+        return frequent.select("h", F.lit(0).alias("class"))
+
+    def gathered(words: DataFrame, top: dict[int, int] | None, at: str) -> DataFrame:
+        with common.settings(spark, spark__sql__parquet__columnarReaderBatchSize="4"):
+            parts = common.table(contexts(blocks, words, top), f"{path}/contexts{at}")
+            return common.table(gather(parts), f"{path}/vectors{at}")
+
+    seeds = F.create_map(*[F.lit(x) for kv in zip(most[:CLASSES], range(CLASSES), strict=False) for x in kv])
+    vectors = gathered(frequent.withColumn("class", F.lit(RARE)), {h: k for k, h in enumerate(most[:TOP])}, "0")
+    now = sweep(vectors.withColumn("class", F.coalesce(F.element_at(seeds, F.col("h")), F.lit(-1))), f"{path}/classes0")
+    common.remove(spark, f"{path}/contexts0", f"{path}/vectors0")
+    for k in range(1, SWEEPS + 1):
+        vectors = gathered(frequent.join(now.select("h", "class"), "h"), None, str(k))
+        words = vectors.join(now.select("h", "class"), "h")
+        now = sweep(words, f"{path}/classes{k}")
+        facts = now.agg(F.sum("moved").alias("moved")).first()["moved"] or 0
+        whole = totals(vectors.withColumn("class", F.lit(0))).sum()
+        common.remove(spark, f"{path}/contexts{k}", f"{path}/vectors{k}")
+        if facts < SETTLED * whole:
+            break
     return now.select("h", "class")
 
 
@@ -311,21 +343,16 @@ def perplexity_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         blocks = common.table(tokenise(docs, doc_id, text), f"{path}/blocks")
     with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1", spark__sql__parquet__columnarReaderBatchSize="4"):
         words = common.table(block_words(blocks), f"{path}/words")
-    everywhere = Window.partitionBy("h").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    known = words.select("block", "pos", "h", F.sum("c").over(everywhere).alias("total"), (F.row_number().over(Window.partitionBy("h").orderBy("block")) == 1).alias("first"))
-    known = common.table(known, f"{path}/known")
+    once = common.table(words.groupBy("h").agg(F.sum("c").alias("total")).where("total > 0"), f"{path}/once")
+    known = common.table(words.join(once, "h", "left").select("block", "pos", "h", F.coalesce("total", F.lit(0)).alias("total")), f"{path}/known")
     common.remove(spark, f"{path}/words")
-    once = known.where("first AND total > 0")
     is_word = F.col("h") != END_HASH
     few = is_word & (F.col("total") < MIN_COUNT)
     facts = once.agg(F.sum("total").alias("n"), F.count("*").alias("v"), F.sum(F.when(few, F.col("total"))).alias("rare"), F.sum((is_word & (F.col("total") == 1)).cast("long")).alias("hapax"), F.sum(F.when(~is_word, F.col("total"))).alias("ends")).first()
     n, v, rare, hapax, ends = (facts[k] or 0 for k in ("n", "v", "rare", "hapax", "ends"))
     most = [r["h"] for r in once.where(is_word & ~few).orderBy(F.desc("total"), "h").limit(max(TOP, CLASSES)).collect()]
     frequent = known.where(is_word & ~few)
-    with common.settings(spark, spark__sql__parquet__columnarReaderBatchSize="4"):
-        vectors = common.table(gather(common.table(contexts(blocks, frequent, {h: k for k, h in enumerate(most[:TOP])}), f"{path}/contexts")), f"{path}/vectors")
-    common.remove(spark, f"{path}/contexts")
-    classes = cluster(vectors, most[:CLASSES], path)
+    classes = cluster(blocks, frequent.select("block", "pos", "h"), most, path)
     sizes = {r["class"]: r["n"] for r in once.join(classes, "h").groupBy("class").agg(F.sum("total").alias("n")).collect()}
     mass = [float(sizes.get(k, 0)) for k in range(CLASSES)] + [float(rare), float(ends)]
     unknown = (hapax + ADD) / (rare + hapax + 2 * ADD)
@@ -375,7 +402,7 @@ def perplexity_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1", spark__sql__parquet__columnarReaderBatchSize="4"):
         scores = labels.select("ids", "held", "lengths", "known", "base", "emission", "classes").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         scores = common.table(scores, f"{path}/scores")
-    common.remove(spark, f"{path}/blocks", f"{path}/labels", f"{path}/known", f"{path}/vectors")
+    common.remove(spark, f"{path}/blocks", f"{path}/labels", f"{path}/known")
     return scores
 
 
