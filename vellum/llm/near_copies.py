@@ -10,9 +10,10 @@ more than the limit; of the rest, differences are added up word by word and a pa
 for as many words. The number of orders follows from the number of texts, so that a pair of similarity 0.8 meets in some
 order with probability ``RECALL``; more similar pairs meet more surely. It grows with a small power of that number.
 
-Texts with equal words are one node. First a spanning forest of the candidates is taken, and every node is verified with
-the least node of its tree; then all candidates whose nodes are not in one component yet are verified. So a large group
-of near copies is never written out as pairs, and no candidate between different components goes unverified.
+Texts with equal words are one node. A leaf gives a spanning forest of its candidates, and what these connect is a group.
+Inside groups the sets themselves are compared: a group's nodes are dealt by hash into cells of about ``CELL`` nodes and
+``CELL_BYTES`` of text, each pair of cells is a work item, and an item gives back a spanning forest of its links. So a
+group is never written out as pairs, and a task holds two cells of it.
 
 Words are told apart as in ``simhash``: white space is ASCII, A-Z counts as a-z. A text of fewer than ``WORDS`` words is one
 shingle; texts without words are copies of each other.
@@ -32,6 +33,7 @@ from pyspark.sql.window import Window
 
 from vellum.llm import common
 from vellum.llm.components import components, stars
+from vellum.llm.crf import numbers
 from vellum.llm.rolling import BYTE_HASH, _ODD, _ODD_INVERSE, _powers, mix
 from vellum.llm.simhash import gray_rank
 
@@ -41,6 +43,8 @@ WORDS = 5
 WIDE, LIMITS = 4, (22, 34, 46, 56)
 #: Neighbours of a leaf and of a row in it.
 LEAF, SUB = 512, 16
+#: Nodes and bytes of words of a cell, about.
+CELL, CELL_BYTES = 512, 2 << 20
 #: Share of differing bits at similarity 0.8, and how likely such a pair meets in some order.
 DIFFER, RECALL = math.acos(0.8 / 0.9) / math.pi, 0.995
 
@@ -80,12 +84,6 @@ def shingle_hashes(words: bytes) -> np.ndarray:
     return np.unique(mix(mix((sums[b] - sums[a]) * _powers(_ODD_INVERSE, len(buf) + 1)[a]) + (b - a).astype(np.uint64)).view(np.int64))
 
 
-def similar(x: set, y: set) -> bool:
-    """Jaccard similarity of 4/5 or more."""
-    both = len(x & y)
-    return 5 * both >= 4 * (len(x) + len(y) - both)
-
-
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """The SimHash of shingle hashes in ``WIDE`` words."""
     out = np.zeros(WIDE, np.uint64)
@@ -138,24 +136,22 @@ def within(a: np.ndarray, b: np.ndarray, first: int) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, t: int, forest: bool, inner: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes ``(smaller, larger)`` of the candidates of a leaf ``y`` with the leaf ``x`` before it, and with itself
-    (``inner``). Rows of leaves: node, size, group and the fingerprint."""
+def _forest(x: np.ndarray, y: np.ndarray, t: int, inner: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of as many candidates as connect them, of a leaf ``y`` with the leaf ``x`` before it, and with itself
+    (``inner``). Rows of leaves: node, size and the fingerprint."""
     both = np.concatenate((x, y)) if inner else x
     if not len(both) or not len(y):
         return (np.zeros(0, np.int64),) * 2
-    i, j = within(both[:, 3:].view(np.uint64), y[:, 3:].view(np.uint64), t % WIDE)
+    i, j = within(both[:, 2:].view(np.uint64), y[:, 2:].view(np.uint64), t % WIDE)
     j, both = j + len(x), np.concatenate((x, y))
-    keep = (i < j) & (5 * both[i, 1] >= 4 * both[j, 1]) & (5 * both[j, 1] >= 4 * both[i, 1]) & (both[i, 2] != both[j, 2])
-    i, j = i[keep], j[keep]
-    if forest:
-        i, j = stars(i, j, len(both))
-    return np.minimum(both[i, 0], both[j, 0]), np.maximum(both[i, 0], both[j, 0])
+    keep = (i < j) & (5 * both[i, 1] >= 4 * both[j, 1]) & (5 * both[j, 1] >= 4 * both[i, 1])
+    i, j = stars(i[keep], j[keep], len(both))
+    return both[i, 0], both[j, 0]
 
 
-def candidates(prints: DataFrame, orders: int, forest: bool, path: str) -> DataFrame:
-    """``a, b``: pairs of nodes within the limits that meet in one of the orders, and whose sizes allow the similarity.
-    ``forest``: only as many of a leaf's pairs as connect its nodes. Otherwise only pairs of different ``group``."""
+def candidates(prints: DataFrame, orders: int, path: str) -> DataFrame:
+    """``a, b``: of the pairs of nodes within the limits that meet in one of the orders, and whose sizes allow the
+    similarity, as many as connect the nodes of a leaf."""
     spark = prints.sparkSession
     names = [f"f{k}" for k in range(WIDE)]
     turns = -(-orders // WIDE)  # rotations of each word
@@ -163,8 +159,7 @@ def candidates(prints: DataFrame, orders: int, forest: bool, path: str) -> DataF
     for t in range(orders):
         f, r = F.col(names[t % WIDE]), (t // WIDE) * 64 // turns
         ranks.append(F.struct(F.lit(t).alias("t"), gray_rank(F.shiftleft(f, r).bitwiseOR(F.shiftrightunsigned(f, 64 - r)) if r else f).alias("rank")))
-    group = F.col("node") if forest else F.col("group")
-    rows = prints.select("node", "size", group.alias("group"), *names, F.explode(F.array(*ranks)).alias("o")).select("o.t", "o.rank", "node", "size", "group", *names)
+    rows = prints.select("node", "size", *names, F.explode(F.array(*ranks)).alias("o")).select("o.t", "o.rank", "node", "size", *names)
     parts = max(1, min(common.shuffle_partitions(spark), prints.count() * orders // (16 * LEAF)))
     placed = rows.repartitionByRange(parts, "t", "rank").sortWithinPartitions("t", "rank", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int64()), ("head", pa.bool_()), ("t", pa.int32()), ("leaf", pa.binary())])
@@ -173,18 +168,18 @@ def candidates(prints: DataFrame, orders: int, forest: bool, path: str) -> DataF
         part, first = TaskContext.get().partitionId(), True
 
         def found(x, y, t):
-            a, b = _pairs(x, y, t, forest)
+            a, b = _forest(x, y, t)
             none = pa.nulls(len(a))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none.cast(f.type) for f in list(schema)[2:]]], schema=schema)
 
         def edge(leaf, t, head):
             return pa.RecordBatch.from_pylist([{"part": part, "head": head, "t": t, "leaf": leaf.tobytes()}], schema)
 
-        none = np.zeros((0, 3 + WIDE), np.int64)
+        none = np.zeros((0, 2 + WIDE), np.int64)
         held, before, order = none, none, None
         for batch in batches:
             ts = batch.column(0).to_numpy()
-            table = np.stack([batch.column(k).to_numpy() for k in range(1, 4 + WIDE)], axis=1)
+            table = np.stack([batch.column(k).to_numpy() for k in range(1, 3 + WIDE)], axis=1)
             cuts = [0, *(np.flatnonzero(ts[1:] != ts[:-1]) + 1).tolist(), len(ts)]
             for p, q in zip(cuts, cuts[1:], strict=False):
                 if p == q:
@@ -207,35 +202,73 @@ def candidates(prints: DataFrame, orders: int, forest: bool, path: str) -> DataF
             yield found(before, held, order)
             yield edge(np.concatenate((before, held))[-LEAF:], order, False)
 
-    out = common.table(placed.select("t", "node", "size", "group", *names).mapInArrow(run, "a long, b long, part long, head boolean, t int, leaf binary"), path)
+    out = common.table(placed.select("t", "node", "size", *names).mapInArrow(run, "a long, b long, part long, head boolean, t int, leaf binary"), path)
     edges = out.where("leaf IS NOT NULL").select("head", "t", "leaf", F.dense_rank().over(Window.orderBy("part")).alias("at"))  # two rows a partition
     ends = edges.where("NOT head").select("t", (F.col("at") + 1).alias("at"), F.col("leaf").alias("x")).join(edges.where("head").select("t", "at", F.col("leaf").alias("y")), ["t", "at"])
 
     def seams(batches):
         for batch in batches:
             for t, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = _pairs(*(np.frombuffer(z, np.int64).reshape(-1, 3 + WIDE) for z in (x, y)), t, forest, inner=False)
+                a, b = _forest(*(np.frombuffer(z, np.int64).reshape(-1, 2 + WIDE) for z in (x, y)), t, inner=False)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return out.where("a IS NOT NULL").select("a", "b").unionByName(ends.select("t", "x", "y").mapInArrow(seams, "a long, b long")).distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` that are similar."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("words").alias(f"{x}_words"))
-    items = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_words", "b_words")
+def linked(words: list[bytes], cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ``(i, j)`` of as many similar pairs as connect the texts; where there are two cells, of pairs across."""
+    sets = [sorted(shingles(w)) for w in words]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = numbers([x for each in sets for x in each])
+    begins = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(flat), bool)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, (a, n) in enumerate(zip(begins.tolist(), sizes.tolist(), strict=True)):
+        mark[flat[a : a + n]] = True
+        both = np.add.reduceat(mark[flat[a:]], begins[i:] - a, dtype=np.int64)  # with this text and those behind it
+        mark[flat[a : a + n]] = False
+        hits = 5 * both >= 4 * (n + sizes[i:] - both)
+        hits[0] = False
+        if cells[0] != cells[-1]:
+            hits &= cells[i:] != cells[i]
+        j = np.flatnonzero(hits) + i
+        found.append((np.full(len(j), i), j))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return stars(i, j, len(words))
+
+
+def group_links(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b``: links that connect the similar nodes of each group of ``group, node``."""
+    spark = nodes.sparkSession
+    texts = groups.join(nodes.select("node", "words"), "node")
+    sizes = texts.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("bytes"))
+    cells = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+    dealt = groups.join(sizes.select("group", cells.alias("cells")), "group").select("group", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    items = dealt.select("group", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"), "mine", "node")
+    key = ["group", "s", "t"]
+    loaded = items.join(nodes.select("node", "words"), "node").repartition(common.shuffle_partitions(spark), *key).sortWithinPartitions(*key, "mine", "node")
 
     def run(batches):
-        last = (None, set())
-        for batch in batches:
-            hits = []
-            for a, x, y in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                if a != last[0]:
-                    last = (a, shingles(x.encode("utf-8", "surrogatepass")))
-                hits.append(similar(last[1], shingles(y.encode("utf-8", "surrogatepass"))))
-            yield batch.select([0, 1]).filter(pa.array(hits, pa.bool_()))
+        held, now = [], None
 
-    return items.mapInArrow(run, "a long, b long")
+        def item(rows):
+            if len(rows) < 2:
+                return
+            names = np.array([r[1] for r in rows])
+            i, j = linked([r[2] for r in rows], np.array([r[0] for r in rows]))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], names=["a", "b"])
+
+        for b in batches:
+            for *tile, cell, node, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tile != now:
+                    yield from item(held)
+                    held, now = [], tile
+                held.append((cell, node, words.encode("utf-8", "surrogatepass")))
+        yield from item(held)
+
+    return loaded.select(*key, "mine", "node", "words").mapInArrow(run, "a long, b long")
 
 
 def near_links(nodes: DataFrame, path: str) -> DataFrame:
@@ -244,19 +277,13 @@ def near_links(nodes: DataFrame, path: str) -> DataFrame:
     small = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2000", "spark__sql__execution__arrow__maxBytesPerBatch": str(4 << 20)}
     with common.settings(spark, **small):
         prints = common.table(fingerprints(nodes), f"{path}/prints")
-    orders = orders_for(prints.count())
-    trees = components(common.table(candidates(prints, orders, True, f"{path}/leaves"), f"{path}/trees"))
-    first = common.table(trees.select(F.col("component").alias("a"), F.col("node").alias("b")), f"{path}/first")
-    with common.settings(spark, **small):
-        links = common.table(verified(first, nodes), f"{path}/links")
-    touched = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    grouped = prints.join(touched, "node").join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    rest = candidates(common.table(grouped, f"{path}/grouped"), orders, False, f"{path}/again").join(first, ["a", "b"], "left_anti")
-    rest = common.table(rest, f"{path}/rest")
+    trees = components(common.table(candidates(prints, orders_for(prints.count()), f"{path}/leaves"), f"{path}/trees"))
+    roots = trees.select(F.col("component").alias("group"), F.col("component").alias("node")).distinct()
+    groups = common.table(roots.unionByName(trees.select(F.col("component").alias("group"), "node")), f"{path}/groups")
     with common.settings(spark, **small):
-        more = common.table(verified(rest, nodes), f"{path}/more")
-    out = components(links.unionByName(more))
-    common.remove(spark, *[f"{path}/{x}" for x in ("prints", "leaves", "again", "trees", "first", "links", "grouped", "rest", "more")])
+        links = common.table(group_links(groups, nodes), f"{path}/links")
+    out = components(links)
+    common.remove(spark, *[f"{path}/{x}" for x in ("prints", "leaves", "trees", "groups", "links")])
     return out
 
 
