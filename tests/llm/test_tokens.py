@@ -65,8 +65,13 @@ def model():
 def scanned(m, text, size):
     s = sp.MARK + text.replace(" ", sp.MARK)
     chunks = [sp.Chunk(m, s[max(0, a - m.longest) : min(a + size, len(s)) + m.longest], max(0, a - m.longest), a, min(a + size, len(s)), len(s)) for a in range(0, len(s), size)]
-    at = sp.scan([c.matrix() for c in chunks])
-    return [i for k, c in enumerate(chunks) for i in c.backtrace(at[k], at[k + 1])]
+    matrices = [c.matrix() for c in chunks]
+    at = sp.scan(matrices, fan=3)
+    assert at == sp.scan(matrices)
+    ids = [i for k, c in enumerate(chunks) for i in c.backtrace(at[k], at[k + 1])]
+    weight = sum(x[a, b] for x, a, b in zip(matrices, at, at[1:], strict=False))
+    assert abs(weight - m.score_of[ids].sum()) < 1e-3  # the weight of the path is that of its pieces
+    return ids
 
 
 def test_scan_equals_library(model):
@@ -83,9 +88,28 @@ def test_products_are_associative():
     assert np.allclose(sp.product(sp.product(a, b), c), sp.product(a, sp.product(b, c)))
 
 
-def test_documents_encode_and_decode(spark, model):
+def test_scan_finds_the_best_of_many_paths():
+    """Random matrices, where every choice of states is a path: against all of them."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 7):
+        sizes = [1, *rng.integers(1, 4, n - 1).tolist(), 2]
+        matrices = [np.where(rng.random((a, b)) < 0.2, sp.NEVER, rng.normal(size=(a, b))) for a, b in zip(sizes, sizes[1:], strict=False)]
+        weigh = lambda path: sum(m[a, b] for m, a, b in zip(matrices, path, path[1:], strict=False))  # noqa: B023, E731
+        best = max(map(weigh, itertools.product(*map(range, sizes))))
+        if best > sp.NEVER:
+            for fan in (2, 3, 64):
+                assert abs(weigh(sp.scan(matrices, fan)) - best) < 1e-9
+
+
+@pytest.mark.parametrize("fan", [64, 3])
+def test_documents_encode_and_decode(spark, model, monkeypatch, fan):
     import hashlib
 
+    monkeypatch.setattr(sp, "FAN", fan)
+    monkeypatch.setattr(sp, "DECODE", 7)
+
     d = docs(spark, 40)
     rows = rows_of(d)
     got = sp.encode(d, sp.model_path(), chunk=300).collect()

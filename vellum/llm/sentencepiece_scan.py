@@ -3,17 +3,21 @@
 Texts of up to ``CHUNK`` characters are encoded as they are. A longer one is cut every ``CHUNK`` characters, in the middle
 of words or of runs without any white space. A boundary's states are the pieces that may cover the character before it.
 Each chunk yields a matrix from the states of its left boundary to those of its right one: the summed scores of the path
-between them, or minus infinity. Matrices combine by max-plus products, which are associative, so a tree of products
-gives every boundary's state; then every chunk is backtraced on its own between its two states.
+between them, or minus infinity. Matrices combine by max-plus products, which are associative: ``FAN`` neighbours are
+multiplied by a task, their products again, until a document has one matrix, which gives the states at its ends; the way
+back down gives the states inside each group of ``FAN``. Then every chunk is backtraced on its own between its two states.
+No task holds more than ``FAN`` matrices or one chunk.
 
 The public model merges pairs (BPE), so its segmentation is not the best-scored one, and paths carry the constraint that
 makes them its own: a piece may follow another only if merging the two from characters leaves exactly these two. Every
 text has one path that obeys this, the one that merging finds, because merges on either side of a lasting seam do not
 depend on what lies beyond it. A transition that breaks the rule weighs minus infinity. Where a space follows other
 text, no piece of the vocabulary crosses (this is checked when the model is loaded), so all paths meet there: the stretch
-between the first and last such place of a chunk is encoded by the library, and its matrix is an outer sum.
+between the first and last such place of a chunk is encoded by the library, whose pieces' scores count like the others,
+and its matrix is an outer sum.
 
-Decoding joins the pieces' bytes chunk by chunk and drops the space that the encoder put first.
+Decoding goes through the ids ``DECODE`` at a time, with a decoder that holds a character cut in two, and drops the space
+that the encoder put first.
 
 A null text is encoded as empty: no ids. As in the library, U+2581 stands for the space and comes back as one. Repeated
 rows give equal results of their own; columns other than the id are not needed. An empty table gives an empty result.
@@ -21,6 +25,7 @@ rows give equal results of their own; columns other than the id are not needed.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import zlib
@@ -35,6 +40,10 @@ from vellum.llm import common
 
 #: Characters of a chunk; longer texts are scanned.
 CHUNK = 1 << 15
+#: Matrices that a task multiplies.
+FAN = 64
+#: Ids that are decoded together.
+DECODE = 1 << 14
 MARK = "▁"
 NEVER = float("-inf")
 
@@ -54,6 +63,9 @@ class Model:
         self.longest = max(map(len, self.piece))
         if any(MARK in p.lstrip(MARK) for p in self.piece):
             raise ValueError("pieces of this model cross from text to a space; its chunks have no safe places")
+        self.score_of = np.zeros(lib.get_piece_size())
+        for p, i in self.piece.items():
+            self.score_of[i] = self.score[p]
         self.bytes_of = [b""] * lib.get_piece_size()
         for p, i in self.piece.items():
             self.bytes_of[i] = p.replace(MARK, " ").encode()
@@ -93,12 +105,15 @@ class Model:
         """Ids of a stretch that starts with a space and follows other text or nothing: the library adds that space."""
         return self.library.encode(marked[1:]) if marked else []
 
-    def decode(self, ids, first: bool = True) -> str:
-        """The text of a document's ids, or of a chunk of them."""
-        table = self.bytes_of
-        raw = b"".join([table[i] for i in ids])
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if first else text
+    def decode_parts(self, ids):
+        """The text of a document's ids, part by part."""
+        table, text = self.bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+        for a in range(0, len(ids), DECODE):
+            part = text.decode(b"".join([table[i] for i in ids[a : a + DECODE]]), a + DECODE >= len(ids))
+            yield part if a else part[1:]
+
+    def decode(self, ids) -> str:
+        return "".join(self.decode_parts(ids))
 
 
 _models: dict[str, Model] = {}
@@ -172,7 +187,8 @@ class Chunk:
             tail = self.walk(last, "", self.b)
             ends = np.array([tail[e][1] if tail.get(e, (None,))[0] == s else NEVER for s, e in self.right])
             heads = np.array([self.walk(e, self.text(s, e), first).get(first, (0, NEVER))[1] for s, e in self.left])
-            return heads[:, None] + ends[None, :]
+            middle = float(self.m.score_of[self.m.segment(self.text(first, last))].sum())
+            return heads[:, None] + middle + ends[None, :]
         for k, (s, e) in enumerate(self.left):
             if e > self.b:
                 if (s, e) in self.right:
@@ -210,35 +226,80 @@ def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x[:, :, None] + y[None]).max(1)
 
 
-def scan(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every boundary, first to last, of the path of greatest weight.
+def products(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of neighbouring matrices."""
+    return functools.reduce(product, matrices)
 
-    A tree of products is built upwards; then each node's outer states give the state between its two halves.
-    """
-    def build(a: int, b: int):
-        if b - a == 1:
-            return matrices[a], None, None
-        mid = (a + b) // 2
-        left, right = build(a, mid), build(mid, b)
-        return product(left[0], right[0]), left, right
-
-    out = [0] * (len(matrices) + 1)
-
-    def place(node, a: int, b: int) -> None:
-        if b - a > 1:
-            mid = (a + b) // 2
-            _, left, right = node
-            out[mid] = int((left[0][out[a]] + right[0][:, out[b]]).argmax())
-            place(left, a, mid)
-            place(right, mid, b)
-
-    root = build(0, len(matrices))
-    best = np.unravel_index(root[0].argmax(), root[0].shape)
-    if root[0][best] == NEVER:
+
+def ends(matrix: np.ndarray) -> tuple[int, int]:
+    """The states at both ends of the path of greatest weight."""
+    best = np.unravel_index(matrix.argmax(), matrix.shape)
+    if matrix[best] == NEVER:
         raise ValueError("no path through the document")
-    out[0], out[-1] = int(best[0]), int(best[1])
-    place(root, 0, len(matrices))
-    return out
+    return int(best[0]), int(best[1])
+
+
+def inside(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
+    """The state at every boundary of neighbouring matrices, of the best path between the two outer states."""
+    best = [matrices[0][first]]
+    for m in matrices[1:]:
+        best.append((best[-1][:, None] + m).max(0))
+    out = [last]
+    for k in range(len(matrices) - 1, 0, -1):
+        out.append(int((best[k - 1] + matrices[k][:, out[-1]]).argmax()))
+    return [first, *out[::-1]]
+
+
+def scan(matrices: list[np.ndarray], fan: int = FAN) -> list[int]:
+    """The state at every boundary, first to last, of the path of greatest weight: up a tree of products and down again."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        levels.append([products(levels[-1][a : a + fan]) for a in range(0, len(levels[-1]), fan)])
+    states = list(ends(levels[-1][0]))
+    for level in levels[-2::-1]:
+        parts = [inside(level[k * fan : (k + 1) * fan], a, b) for k, (a, b) in enumerate(zip(states, states[1:], strict=False))]
+        states = [parts[0][0], *(x for part in parts for x in part[1:])]
+    return states
+
+
+MATRIX = "uid long, k long, rows long, matrix binary"
+PLACED = "uid long, k long, from long, to long"
+
+
+def _matrices(group: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+    at = sorted(group.to_pylist(), key=lambda r: r["k"])
+    return [r["k"] for r in at], [np.frombuffer(r["matrix"]).reshape(r["rows"], -1) for r in at]
+
+
+def place(matrices: DataFrame, path: str) -> DataFrame:
+    """``uid, k, from, to``: the states on both sides of every chunk, from the matrices ``uid, k, rows, matrix``."""
+    fan = FAN
+
+    def up(group: pa.Table) -> pa.Table:
+        ks, found = _matrices(group)
+        x = products(found)
+        return pa.table({"uid": group.column("uid").slice(0, 1), "k": pa.array([ks[0] // fan], pa.int64()), "rows": pa.array([x.shape[0]], pa.int64()), "matrix": pa.array([x.tobytes()], pa.binary())})
+
+    def top(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                a, z = ends(np.frombuffer(r["matrix"]).reshape(r["rows"], -1))
+                yield pa.RecordBatch.from_pydict({"uid": [r["uid"]], "k": [r["k"]], "from": pa.array([a], pa.int64()), "to": pa.array([z], pa.int64())})
+
+    def down(group: pa.Table, outer: pa.Table) -> pa.Table:
+        ks, found = _matrices(group)
+        states = inside(found, outer.column("from")[0].as_py(), outer.column("to")[0].as_py())
+        return pa.table({"uid": group.column("uid"), "k": pa.array(ks, pa.int64()), "from": pa.array(states[:-1], pa.int64()), "to": pa.array(states[1:], pa.int64())})
+
+    over = F.floor(F.col("k") / fan).cast("long")
+    levels = [matrices]
+    while (levels[-1].agg(F.max("k").alias("k")).first()["k"] or 0) > 0:
+        grouped = levels[-1].groupBy("uid", over.alias("over"))
+        levels.append(common.table(grouped.applyInArrow(up, MATRIX), f"{path}/products{len(levels)}"))
+    states = levels[-1].mapInArrow(top, PLACED)
+    for level in levels[-2::-1]:
+        states = level.groupBy("uid", over.alias("over")).cogroup(states.groupBy("uid", F.col("k").alias("over"))).applyInArrow(down, PLACED)
+    return states
 
 
 def _chunks(docs: DataFrame, longest: int, chunk: int) -> DataFrame:
@@ -288,13 +349,8 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 x = piece(m, r).matrix()
                 yield pa.RecordBatch.from_pydict({"uid": [r["uid"]], "k": [r["k"]], "rows": pa.array([x.shape[0]], pa.int64()), "matrix": [x.tobytes()]})
 
-    def combine(group: pa.Table) -> pa.Table:
-        at = sorted(group.to_pylist(), key=lambda r: r["k"])
-        found = scan([np.frombuffer(r["matrix"]).reshape(r["rows"], -1) for r in at])
-        return pa.table({"uid": [r["uid"] for r in at], "k": [r["k"] for r in at], "from": pa.array(found[:-1], pa.int64()), "to": pa.array(found[1:], pa.int64())})
-
-    matrices = chunks.mapInArrow(transfer, "uid long, k long, rows long, matrix binary")
-    placed = matrices.groupBy("uid").applyInArrow(combine, "uid long, k long, from long, to long")  # matrices of one document, no text
+    matrices = common.table(chunks.mapInArrow(transfer, MATRIX), f"{folder}/matrices")
+    placed = place(matrices, folder)
 
     def trace(batches):
         m = model(path)
@@ -321,8 +377,11 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
             ids = b.column(3)
             flat, cuts = ids.flatten().to_numpy().astype("<u4"), np.concatenate(([0], np.cumsum([len(x) for x in ids])))
             parts = [flat[a:e] for a, e in zip(cuts, cuts[1:], strict=False)]
-            texts = [m.decode(x.tolist()).encode() for x in parts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], names=["doc_id", "n_chunks", "n_tokens", "ids_crc32", "decoded_sha256"])
+            hashed = [hashlib.sha256() for _ in parts]
+            for h, x in zip(hashed, parts, strict=True):
+                for text in m.decode_parts(x.tolist()):
+                    h.update(text.encode())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64()), pa.array([h.hexdigest() for h in hashed])], names=["doc_id", "n_chunks", "n_tokens", "ids_crc32", "decoded_sha256"])
 
     return encode(docs, path, doc_id, text, chunk).mapInArrow(run, "doc_id long, n_chunks long, n_tokens long, ids_crc32 long, decoded_sha256 string")
 
