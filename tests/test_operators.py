@@ -136,3 +136,46 @@ def test_runner(spark, tmp_path):
         tools.invoke("calculator", {"expression": 3})
     assert runner.Policy().check(tools.get("write_file"), 0, 0) == (False, "not approved")
     assert runner.Runner(tools, runner.Policy(max_calls=0)).run("1 + 1").status == "stopped"
+
+
+def test_small_ml_and_sampling_helpers(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0), (0.5, 0.5)], "prediction double, label double")
+    assert ml.mean_loss(df).first().loss == 0.5 and ml.mean_loss(df, kind="absolute").first().loss == 0.5
+    assert ml.mean_loss(spark.createDataFrame([(0.5, 1.0)], "prediction double, label double"), kind="log").first().loss == pytest.approx(np.log(2))
+    points = ml.circle(spark, 60, 1)
+    model = ml.perceptron(points, ["x", "y"], "label", [2, 3, 2])
+    ml.save(model, f"file://{tmp_path}/m")
+    assert ml.accuracy(ml.load(f"file://{tmp_path}/m").transform(points)).first() == ml.accuracy(model.transform(points)).first()
+    ids = spark.range(100)
+    assert [r.id for r in matrix.choice(ids, "id", 7, 3).collect()] == [r.id for r in matrix.shuffled(ids, "id", 3).collect()][:7]
+    assert matrix.choice(ids, "id", 7, 4).collect() != matrix.choice(ids, "id", 7, 3).collect()
+    assert {r.batch for r in matrix.batches(ids, "id", 20, 1).collect()} == set(range(5)) and matrix.batches(ids, "id", 20, 1).count() == 100
+    assert [tuple(r) for r in matrix.positions(spark.createDataFrame([(1, ["a", "b"])], "k int, v array<string>"), "v").collect()] == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_encoder_plug_in(spark):
+    from vellum.functions import vectors
+
+    vectors.register("lengths", lambda: lambda texts: [[len(t), 4.0] for t in texts])
+    got = spark.createDataFrame([("abc",), (None,)], "t string").select(vectors.encode(F.col("t"), "lengths").alias("v")).collect()
+    assert np.allclose([r.v for r in got], [[0.6, 0.8], [0.0, 1.0]])
+
+
+def test_html_becomes_blocks(spark, tmp_path):
+    from vellum.sources import readers
+
+    html = "<html><title>T</title><style>p {}</style><h1>Head &amp; more</h1><p>One <b>two</b>\n three</p><pre>def f():\n    return 1</pre><ul><li>a<li>b</ul>tail"
+    blocks = list(readers.html_blocks(html.encode()))
+    assert [(b["text"], b["max_font_size"], b["monospace"]) for b in blocks] == [("T", 12.0, False), ("Head & more", 24.0, False), ("One two three", 12.0, False), ("def f():\n    return 1", 12.0, True), ("a", 12.0, False), ("b", 12.0, False), ("tail", 12.0, False)]
+    assert list(readers.html_blocks(b"")) == []
+
+
+def test_commands_write_what_they_say(spark, tmp_path, capsys):
+    from vellum import cli
+
+    (tmp_path / "u.jsonl").write_text('{"unit_id": "1", "kind": "code", "text": "def f():\\nreturn 1"}\n{"unit_id": "2", "kind": "list", "text": "x"}\n')
+    assert cli.main(["diagnose", str(tmp_path / "u.jsonl"), "-o", str(tmp_path / "d.json")], spark) == 0
+    assert (tmp_path / "d.json").read_text() == '{"units":1,"failing":1,"indentation":1,"split_identifiers":0,"boundaries":1}\n'
+    assert cli.main(["ask", "(2 + 3) * 4"], spark) == 0 and '"output": "20"' in capsys.readouterr().out
+    with pytest.raises(FileExistsError):
+        cli.main(["ask", "1 + 1", "-o", str(tmp_path / "d.json")], spark)

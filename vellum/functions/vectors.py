@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable
@@ -55,6 +56,23 @@ def no_encode(texts: list[str]) -> np.ndarray:
     return np.zeros((len(texts), 1), np.float32)
 
 
+@functools.lru_cache(maxsize=8)
+def _loaded(load: Callable[[], Callable]) -> Callable[[list[str]], np.ndarray]:
+    """This worker's model of a plug-in: loaded once, at the first batch."""
+    return load()
+
+
+def register(name: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> None:
+    """Add an encoder. ``load()`` gives ``f(texts) -> rows`` and runs once on every worker; rows are made unit vectors."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        rows = np.asarray(_loaded(load)(texts), np.float32).reshape(len(texts), -1)
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        return rows / np.where(length == 0, 1, length)
+
+    ENCODERS[name] = run
+
+
 #: Encoders by name: ``f(texts) -> array of unit rows``. Others can be registered.
 ENCODERS: dict[str, Callable[[list[str]], np.ndarray]] = {"none": no_encode, "hashing": hash_encode}
 
@@ -67,8 +85,9 @@ def encoder(name: str, dimensions: int = 1024) -> Callable[[list[str]], np.ndarr
 
 def encode(c: Column, name: str = "hashing", dimensions: int = 1024) -> Column:
     """Vectors of a column of texts, batch by batch."""
+    chosen = encoder(name, dimensions)  # goes to the workers with the plan, so plug-ins need no registration there
 
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(list(encoder(name, dimensions)([x or "" for x in s])), index=s.index, dtype=object)
+        return pd.Series(list(chosen([x or "" for x in s])), index=s.index, dtype=object)
 
     return F.pandas_udf(run, "array<float>")(c)

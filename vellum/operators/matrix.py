@@ -109,3 +109,25 @@ def random_matrix(spark, rows: int, columns: int, seed: int, normal: bool = Fals
     """A seeded matrix of uniform or normal values."""
     cells = spark.range(rows * columns).select(F.floor(F.col("id") / columns).cast("long").alias("i"), (F.col("id") % columns).alias("j"))
     return cells.withColumn("v", F.randn(seed) if normal else F.rand(seed))
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows in an order that a seed and their keys decide; equal keys stay together."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+
+
+def choice(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows without repetition, drawn by the hash of their keys; fewer where there are fewer."""
+    return shuffled(df, key, seed).limit(n)
+
+
+def batches(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """``df`` with ``batch``: about ``size`` rows each, dealt by the hash of their keys, so that no order is computed."""
+    n = df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("n"))  # one row
+    return df.join(F.broadcast(n)).withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.col("n"))).drop("n")
+
+
+def positions(df: DataFrame, values: str, name: str = "position") -> DataFrame:
+    """Rows of an array column as rows of their own, with the position of each element from 0."""
+    rest = [c for c in df.columns if c != values]
+    return df.select(*rest, F.posexplode(values).alias(name, values))

@@ -50,6 +50,23 @@ def accuracy(df: DataFrame, prediction: str = "prediction", label: str = "label"
     return df.agg(F.avg((F.col(prediction) == F.col(label)).cast("double")).alias("accuracy"))
 
 
+def mean_loss(df: DataFrame, prediction: str = "prediction", label: str = "label", kind: str = "squared") -> DataFrame:
+    """One row: the mean ``squared`` or ``absolute`` error, or the ``log`` loss of a probability (kept off 0 and 1 by 1e-15)."""
+    p, y = F.col(prediction).cast("double"), F.col(label).cast("double")
+    q = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = {"squared": (p - y) * (p - y), "absolute": F.abs(p - y), "log": -(y * F.ln(q) + (1 - y) * F.ln(1 - q))}[kind]
+    return df.agg(F.avg(loss).alias("loss"))
+
+
+def save(model: PipelineModel, path: str, overwrite: bool = False) -> None:
+    """Store a model; one that is there already stays unless told otherwise."""
+    (model.write().overwrite() if overwrite else model.write()).save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def circle(spark, n: int, seed: int) -> DataFrame:
     """Seeded points and whether they lie in the unit circle."""
     p = spark.range(n).select((F.randn(seed)).alias("x"), F.randn(seed + 1).alias("y"))

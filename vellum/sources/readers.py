@@ -88,3 +88,66 @@ def model_ids(value: str | None, default: list[str]) -> list[str]:
     """Names from a comma-separated setting, or the default."""
     found = [x.strip() for x in (value or "").split(",") if x.strip()]
     return found or default
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A database table, memories and checkpoints among them. With a numeric ``key`` and its ``bounds`` it is read in
+    ``parts`` at once; filters and columns go to the database."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if key and bounds:
+        reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+    return reader.load()
+
+
+#: Font sizes that stand for the tags of headings, and tags whose text is one block.
+HEADING_SIZES = {"h1": 24.0, "h2": 20.0, "h3": 17.0, "h4": 15.0}
+BLOCK_TAGS = {"p", "li", "ul", "ol", "table", "tr", "div", "pre", "td", "th", "blockquote", "figcaption", "section", "article", "title", *HEADING_SIZES}
+
+
+def html_blocks(content: bytes) -> Iterator[dict]:
+    """A reader for :func:`parse_files`: the text blocks of an HTML page in the order of the source, one below the other
+    on pages of 60, headings by font size and ``pre`` as monospace."""
+    from html.parser import HTMLParser
+
+    found: list[tuple[str, str]] = []
+
+    class Parser(HTMLParser):
+        open_: list[str] = ["p"]
+        text: list[str] = []
+        hidden = 0
+
+        def close_block(self):
+            body = "".join(self.text)
+            body = body.strip("\n") if self.open_[-1] == "pre" else " ".join(body.split())
+            if body.strip():
+                found.append((self.open_[-1], body))
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style")
+            if tag in BLOCK_TAGS:
+                self.close_block()
+                self.open_ = [*self.open_, tag]
+            elif tag == "br":
+                self.text.append("\n" if self.open_[-1] == "pre" else " ")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style") and self.hidden > 0
+            if tag in BLOCK_TAGS and tag in self.open_[1:]:
+                self.close_block()
+                while self.open_.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.text.append(data)
+
+    parser = Parser()
+    parser.feed(content.decode("utf-8", "replace"))
+    parser.close_block()
+    for k, (tag, text) in enumerate(found):
+        y, size = 60.0 + k % 60 * 12, HEADING_SIZES.get(tag, 12.0)
+        yield {
+            "page_number": k // 60 + 1, "block_no": k, "x0": 50.0, "y0": y, "x1": 545.0, "y1": y + 11, "text": text, "source": "html", "max_font_size": size, "avg_font_size": size, "bold": tag in HEADING_SIZES or tag == "th",
+            "monospace": tag == "pre", "heading_level": None, "heading_source": None, "lines": [{"text": x, "x0": 50.0 + 6 * (len(x) - len(x.lstrip()))} for x in text.split("\n")],
+        }
