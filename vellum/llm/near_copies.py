@@ -84,17 +84,20 @@ def shingle_hashes(words: bytes) -> np.ndarray:
     return np.unique(mix(mix((sums[b] - sums[a]) * _powers(_ODD_INVERSE, len(buf) + 1)[a]) + (b - a).astype(np.uint64)).view(np.int64))
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # highest bit first
+_SALTS = np.array([(k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(WIDE)], np.uint64)
+
+
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """The SimHash of shingle hashes in ``WIDE`` words."""
-    out = np.zeros(WIDE, np.uint64)
-    for k in range(WIDE):
-        octets = mix(hashes.view(np.uint64) ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BITS for j in range(8)]) if len(octets) > 64 else np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * ones > len(octets)).tobytes(), "big")
-    return out
+    octets = mix(hashes.view(np.uint64)[:, None] ^ _SALTS).astype(">u8").view(np.uint8)
+    if len(hashes) < 2000:  # bit by bit is faster for few, by values of octets for many
+        ones = np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
+    else:
+        ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8 * WIDE)])
+    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64)
 
 
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # highest bit first
 PRINTS = "node long, size long, " + ", ".join(f"f{k} long" for k in range(WIDE))
 
 
