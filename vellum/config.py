@@ -1,4 +1,7 @@
-"""Settings of the document pipeline, checked when they are made."""
+"""Settings of the document pipeline, checked when they are made.
+
+Fixed values: the defaults are those that results depend on.
+"""
 
 from __future__ import annotations
 
