@@ -308,8 +308,9 @@ def sweep(words: DataFrame, path: str) -> DataFrame:
     return common.table(words.select("h", "groups", "counts", "class").mapInArrow(run, "h long, class int, moved long"), path)
 
 
-def cluster(blocks: DataFrame, frequent: DataFrame, most: list[int], path: str) -> DataFrame:
-    """``h, class`` of every frequent word; ``frequent`` has ``block, pos, h``, ``most`` the most frequent words in order."""
+def cluster(blocks: DataFrame, frequent: DataFrame, most: list[int], tokens: int, path: str) -> DataFrame:
+    """``h, class`` of every frequent word; ``frequent`` has ``block, pos, h``, ``most`` the most frequent words in order, and
+    ``tokens`` is how often all of them stand."""
     spark = blocks.sparkSession
     if not most:
         return frequent.select("h", F.lit(0).alias("class"))
@@ -327,10 +328,9 @@ def cluster(blocks: DataFrame, frequent: DataFrame, most: list[int], path: str)
         vectors = gathered(frequent.join(now.select("h", "class"), "h"), None, str(k))
         words = vectors.join(now.select("h", "class"), "h")
         now = sweep(words, f"{path}/classes{k}")
-        facts = now.agg(F.sum("moved").alias("moved")).first()["moved"] or 0
-        whole = totals(vectors.withColumn("class", F.lit(0))).sum()
+        moved = now.agg(F.sum("moved").alias("moved")).first()["moved"] or 0  # a token counts on both sides
         common.remove(spark, f"{path}/contexts{k}", f"{path}/vectors{k}")
-        if facts < SETTLED * whole:
+        if moved < SETTLED * 2 * tokens:
             break
     return now.select("h", "class")
 
@@ -352,7 +352,7 @@ def perplexity_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     n, v, rare, hapax, ends = (facts[k] or 0 for k in ("n", "v", "rare", "hapax", "ends"))
     most = [r["h"] for r in once.where(is_word & ~few).orderBy(F.desc("total"), "h").limit(max(TOP, CLASSES)).collect()]
     frequent = known.where(is_word & ~few)
-    classes = cluster(blocks, frequent.select("block", "pos", "h"), most, path)
+    classes = cluster(blocks, frequent.select("block", "pos", "h"), most, n - rare - ends, path)
     sizes = {r["class"]: r["n"] for r in once.join(classes, "h").groupBy("class").agg(F.sum("total").alias("n")).collect()}
     mass = [float(sizes.get(k, 0)) for k in range(CLASSES)] + [float(rare), float(ends)]
     unknown = (hapax + ADD) / (rare + hapax + 2 * ADD)
