@@ -30,3 +30,14 @@ def test_inline_is_the_pattern(text):
 
     plain = unicodedata.normalize("NFKC", text or "").translate({0xAD: None, 0x200B: None, 0xFEFF: None})
     assert rules.inline(text) == re.sub(r"[\t\v\f\r ]+", " ", plain).strip()
+
+
+def test_lines_do_not_meet_at_one_key(spark, tmp_path):
+    from vellum.plans import texts
+
+    long = "word " * 60
+    spark.createDataFrame([(k, f"{long}{k}\n\nshared 1\nown {'abcdefgh'[k] * 3}") for k in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = texts.q_lines_without_boilerplate(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(k, 3, 301 + 7) for k in range(5)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "Union" in plan  # blank and long lines, all of pattern '', stay out of the join

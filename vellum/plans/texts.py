@@ -72,9 +72,12 @@ def q_repeated_lines(spark, d):
 )
 def q_lines_without_boilerplate(spark, d):
     """Lines that no pattern of other documents removes."""
-    keyed = lines_of(spark, d).withColumn("pattern", T.boilerplate_key(F.col("line")))
-    repeated = keyed.where("pattern <> ''").select("doc_id", "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("n")).where("n >= 3").select("pattern")
-    return keyed.join(repeated, "pattern", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    keyed = lines_of(spark, d).select("doc_id", T.boilerplate_key(F.col("line")).alias("pattern"), F.length("line").alias("size"))
+    each = keyed.groupBy("doc_id", "pattern").agg(F.count("*").alias("n_lines"), F.sum("size").alias("n_chars"))  # no text but the pattern is shuffled
+    named = each.where("pattern <> ''")
+    repeated = named.groupBy("pattern").agg(F.count("*").alias("n")).where("n >= 3").select("pattern")
+    kept = each.where("pattern = ''").unionByName(named.join(repeated, "pattern", "left_anti").select(*each.columns))  # long and blank lines repeat nothing
+    return kept.groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_chars").alias("n_chars"))
 
 
 LIST = r"^(?:[-*•·]\s+|\(?\d{1,3}[.)、]\s*|[一二三四五六七八九十百]+[、.]\s*|[（(][一二三四五六七八九十百0-9]+[）)]\s*)"
