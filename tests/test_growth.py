@@ -41,3 +41,14 @@ def test_lines_do_not_meet_at_one_key(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {(k, 3, 301 + 7) for k in range(5)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftAnti" in plan and "Union" in plan  # blank and long lines, all of pattern '', stay out of the join
+
+
+def test_equal_tables_meet_blocks_once(spark):
+    from vellum.operators import layout
+
+    box = "10.0D AS x0, 10.0D AS y0, 50.0D AS x1, 50.0D AS y1"
+    blocks = spark.range(3).selectExpr("'d' AS document_id", "CAST(id AS INT) AS page_number", box)
+    tables = spark.range(20).selectExpr("'d' AS document_id", "1 AS page_number", box)
+    got = layout.drop_blocks_in_tables(blocks, tables)
+    assert sorted(r.page_number for r in got.collect()) == [0, 2]
+    assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()  # equal boxes count once

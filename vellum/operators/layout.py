@@ -83,7 +83,7 @@ def rejection_reasons(rejected: DataFrame, n: int = 3) -> DataFrame:
 
 def drop_blocks_in_tables(blocks: DataFrame, tables: DataFrame, share: float = 0.72) -> DataFrame:
     """Blocks of which a table of the page covers less than ``share``."""
-    b, t = blocks.alias("b"), tables.alias("t")
+    b, t = blocks.alias("b"), tables.select(*PAGE, "x0", "y0", "x1", "y1").distinct().alias("t")  # equal boxes cover alike
     box = lambda x: tuple(F.col(f"{x}.{k}") for k in ("x0", "y0", "x1", "y1"))
     same = (F.col("b.document_id") == F.col("t.document_id")) & (F.col("b.page_number") == F.col("t.page_number"))
     return b.join(t, same & (overlap_share(box("b"), box("t")) >= share), "left_anti")
