@@ -46,9 +46,18 @@ def test_lines_do_not_meet_at_one_key(spark, tmp_path):
 def test_equal_tables_meet_blocks_once(spark):
     from vellum.operators import layout
 
-    box = "10.0D AS x0, 10.0D AS y0, 50.0D AS x1, 50.0D AS y1"
-    blocks = spark.range(3).selectExpr("'d' AS document_id", "CAST(id AS INT) AS page_number", box)
-    tables = spark.range(20).selectExpr("'d' AS document_id", "1 AS page_number", box)
+    box = ["10.0D AS x0", "10.0D AS y0", "50.0D AS x1", "50.0D AS y1"]
+    blocks = spark.range(3).selectExpr("'d' AS document_id", "CAST(id AS INT) AS page_number", *box)
+    tables = spark.range(20).selectExpr("'d' AS document_id", "1 AS page_number", *box)
     got = layout.drop_blocks_in_tables(blocks, tables)
     assert sorted(r.page_number for r in got.collect()) == [0, 2]
     assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()  # equal boxes count once
+
+
+def test_top_k_scores_few_queries_at_once(spark, monkeypatch):
+    from vellum.operators import retrieval
+
+    docs = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(60)], "vec_id long, embedding array<float>")
+    want = retrieval.top_k_each(docs, docs.withColumnRenamed("vec_id", "query_id"), 3).collect()
+    monkeypatch.setattr(retrieval, "CELLS", 4096 * 7)  # seven queries at once
+    assert sorted(retrieval.top_k_each(docs, docs.withColumnRenamed("vec_id", "query_id"), 3).collect()) == sorted(want) and len(want) == 180

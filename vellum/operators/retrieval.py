@@ -33,6 +33,8 @@ def top_k_each(docs: DataFrame, queries: DataFrame, k: int = 5, vector: str = "e
 
 #: Queries that go to the tasks together, about.
 QUERY_BLOCK = 5000
+#: Scores that a task holds at once, about.
+CELLS = 1 << 19
 
 
 def _top_k_block(docs: DataFrame, queries: DataFrame, k: int, vector: str, ident: str, query_id: str, block: int) -> DataFrame:
@@ -44,13 +46,16 @@ def _top_k_block(docs: DataFrame, queries: DataFrame, k: int, vector: str, ident
     def run(batches):
         import pandas as pd
 
+        most = max(1, CELLS // block)  # queries that are scored at once
         for b in batches:
             for a in range(0, len(b), block):
                 part = b.iloc[a : a + block]
-                s = q @ np.stack(part[vector]).astype(float).T
+                m = np.stack(part[vector]).astype(float).T
                 ids = part[ident].to_numpy()
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({query_id: np.repeat(names, order.shape[1]), ident: ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                for first in range(0, len(q), most):
+                    s = q[first : first + most] @ m
+                    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                    yield pd.DataFrame({query_id: np.repeat(names[first : first + most], order.shape[1]), ident: ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
     kinds = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {ident} {docs.schema[ident].dataType.simpleString()}, score double"
     if not found:
