@@ -38,17 +38,25 @@ def needs_ocr(native_chars: Column, config: ParserConfig) -> Column:
 
 
 def score_table(rows: Column, box: tuple[Column, ...], page_area: Column, config: ParserConfig) -> Column:
-    """``struct<score, reasons>``: how much an extracted table looks like one."""
-    n_rows, widths = F.size(rows), F.transform(rows, F.size)
+    """``struct<score, reasons>``: how much an extracted table looks like one. What is counted in the cells is counted once."""
+    live = F.transform(rows, lambda r: F.filter(r, lambda c: T.strip(T.text_of(c)) != ""))
+    first = lambda a: F.struct(F.transform(rows, F.size).alias("widths"), F.transform(a, F.size).alias("per_row"), F.transform(F.flatten(a), T.visible_chars).alias("sizes"))
+    return T.let(T.let(live, first), lambda m: T.let(_measures(rows, m, config), lambda n: _verdict(n, box, page_area, config)))
+
+
+def _measures(rows: Column, m: Column, config: ParserConfig) -> Column:
+    n_rows, widths, sizes = F.size(rows), m.widths, m.sizes
     n_columns = F.coalesce(F.array_max(widths), F.lit(0))
-    cells = F.filter(F.flatten(rows), lambda c: T.strip(T.text_of(c)) != "")
-    filled = F.size(cells) / F.greatest(n_rows * n_columns, F.lit(1))
-    per_row = F.transform(rows, lambda r: F.size(F.filter(r, lambda c: T.strip(T.text_of(c)) != "")))
-    single = F.size(F.filter(per_row, lambda n: n <= 1)) / n_rows
-    sizes = F.transform(cells, T.visible_chars)
-    long = F.size(F.filter(sizes, lambda n: n > config.max_narrative_cell_chars)) / F.greatest(F.size(cells), F.lit(1))
-    mean = F.aggregate(sizes, F.lit(0), lambda a, b: a + b) / F.greatest(F.size(cells), F.lit(1))
+    filled = F.size(sizes) / F.greatest(n_rows * n_columns, F.lit(1))
+    single = F.size(F.filter(m.per_row, lambda n: n <= 1)) / n_rows
+    long = F.size(F.filter(sizes, lambda n: n > config.max_narrative_cell_chars)) / F.greatest(F.size(sizes), F.lit(1))
+    mean = F.aggregate(sizes, F.lit(0), lambda a, b: a + b) / F.greatest(F.size(sizes), F.lit(1))
     modal = F.array_max(F.transform(widths, lambda w: F.size(F.filter(widths, lambda v: v == w)))) / n_rows
+    return F.struct(*[x.alias(k) for k, x in {"n_rows": n_rows, "n_columns": n_columns, "filled": filled, "single": single, "long": long, "mean": mean, "modal": modal}.items()])
+
+
+def _verdict(m: Column, box: tuple[Column, ...], page_area: Column, config: ParserConfig) -> Column:
+    n_rows, n_columns, filled, single, long, mean, modal = (m[k] for k in ("n_rows", "n_columns", "filled", "single", "long", "mean", "modal"))
     area = F.greatest((box[2] - box[0]) * (box[3] - box[1]), F.lit(0.0)) / F.greatest(page_area, F.lit(1.0))
     # Parts of the score and what lowers it.
     penalties = [
