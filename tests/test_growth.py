@@ -61,3 +61,12 @@ def test_top_k_scores_few_queries_at_once(spark, monkeypatch):
     want = retrieval.top_k_each(docs, docs.withColumnRenamed("vec_id", "query_id"), 3).collect()
     monkeypatch.setattr(retrieval, "CELLS", 4096 * 7)  # seven queries at once
     assert sorted(retrieval.top_k_each(docs, docs.withColumnRenamed("vec_id", "query_id"), 3).collect()) == sorted(want) and len(want) == 180
+
+
+def test_cells_of_a_table_are_counted_once(spark):
+    from vellum.config import ParserConfig
+    from vellum.operators import layout
+
+    t = spark.createDataFrame([([["a", "b"], ["c", ""], ["d", "e"]],)], "rows array<array<string>>")
+    got = t.select(layout.score_table(F.col("rows"), tuple(F.lit(float(x)) for x in (0, 0, 10, 10)), F.lit(1e4), ParserConfig()).alias("s"))
+    assert got.first().s.score > 0.5 and got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2
