@@ -70,3 +70,27 @@ def test_cells_of_a_table_are_counted_once(spark):
     t = spark.createDataFrame([([["a", "b"], ["c", ""], ["d", "e"]],)], "rows array<array<string>>")
     got = t.select(layout.score_table(F.col("rows"), tuple(F.lit(float(x)) for x in (0, 0, 10, 10)), F.lit(1e4), ParserConfig()).alias("s"))
     assert got.first().s.score > 0.5 and got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2
+
+
+def test_training_counts_grams_where_the_texts_lie(spark, monkeypatch):
+    from collections import Counter
+
+    from vellum.operators import ml
+
+    texts = [("Ab  b", "x"), ("", "x"), (None, "y"), ("bÉ\n\tb𝒳中", "y"), ("ab", "x")]
+    rows = spark.createDataFrame(texts, "text string, label string")
+    want = {}
+    for t, y in texts:
+        t = (t or "").lower().replace("  ", " ").replace("\n\t", " ")
+        want.setdefault(y, Counter()).update([*t, *(a + b for a, b in zip(t, t[1:], strict=False)), None])
+    for pairs in (ml.PAIRS, 1):  # by a table of pairs, and by sorting them
+        monkeypatch.setattr(ml, "PAIRS", pairs)
+        assert {(r.label, r.gram): r.n for r in ml.count_ngrams(rows, "text", "label").collect()} == {(y, g): n for y, c in want.items() for g, n in c.items()}
+    grams = ml.char_ngrams
+    monkeypatch.setattr(ml, "char_ngrams", lambda *_: pytest.fail("an array of all grams of each text"))
+    model = ml.train_text_classifier(rows)
+    monkeypatch.setattr(ml, "char_ngrams", grams)
+    total = want["x"] + want["y"]
+    assert model.stages[1].vocabulary == sorted((g for g in total if g), key=lambda g: (-total[g], g.encode()))
+    assert [round(2.718281828459045**p, 6) for p in model.stages[2].pi] == [round(4 / 7, 6), round(3 / 7, 6)]  # smoothed
+    assert [r.predicted for r in ml.classify_texts(model, spark.createDataFrame([("中",), ("ab",)], "text string")).collect()] == ["y", "x"]

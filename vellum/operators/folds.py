@@ -38,3 +38,15 @@ def by_group(rows: DataFrame, keys: list[str], fold: Callable[[list[dict]], Iter
                     yield pa.RecordBatch.from_pylist(found, schema=shape)
 
     return grouped.select("rows").mapInArrow(run, schema)
+
+
+def slices(batch, sizes, most: int):
+    """Cut an Arrow batch into runs of rows whose ``sizes`` sum to about ``most``; a larger row is a run of its own."""
+    first = total = 0
+    for k, size in enumerate(sizes):
+        if total and total + size > most:
+            yield batch.slice(first, k - first)
+            first, total = k, 0
+        total += size
+    if batch.num_rows > first:
+        yield batch.slice(first)
