@@ -94,3 +94,20 @@ def test_training_counts_grams_where_the_texts_lie(spark, monkeypatch):
     assert model.stages[1].vocabulary == sorted((g for g in total if g), key=lambda g: (-total[g], g.encode()))
     assert [round(2.718281828459045**p, 6) for p in model.stages[2].pi] == [round(4 / 7, 6), round(3 / 7, 6)]  # smoothed
     assert [r.predicted for r in ml.classify_texts(model, spark.createDataFrame([("中",), ("ab",)], "text string")).collect()] == ["y", "x"]
+
+
+def test_equal_programs_are_rebuilt_once_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    from vellum.functions import code
+
+    shape = pa.list_(pa.struct([("text", pa.string()), ("x0", pa.float64())]))
+    pieces = [[("def f():", 1.0), ("retur", 19.0), ("n 1", 19.0)], [("def f():", 1.0), ("retur", 19.0), ("n 1", 19.0)], [("def f():", 1.0)], None, [], [("x = 1", 2.0), ("1", 3.0)], [("if a:", -0.0), ("b", 40.0)], [("if a:", 0.0), ("b", 40.0)]]
+    rows = [p if p is None else [{"text": t, "x0": x} for t, x in p] for p in pieces]
+    want = [p if p is None else code.rebuild([t for t, _ in p], [x for _, x in p]) for p in pieces]
+    seen, plain = [], code.rebuild
+    monkeypatch.setattr(code, "rebuild", lambda *a: seen.append(a) or plain(*a))
+    assert code._rebuilt(pa.array([[{"text": "y", "x0": 1.0}], *rows], shape).slice(1), 4).to_pylist() == want  # an offset is kept
+    assert len(seen) == 5 and want[0] == "def f():\n    return 1"
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pieces)], "k int, p array<struct<text:string,x0:double>>")
+    assert [r.t for r in df.select("k", code.rebuild_column(F.col("p")).alias("t")).orderBy("k").collect()] == want
