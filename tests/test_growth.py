@@ -111,3 +111,20 @@ def test_equal_programs_are_rebuilt_once_a_batch(spark, monkeypatch):
     assert len(seen) == 5 and want[0] == "def f():\n    return 1"
     df = spark.createDataFrame([(k, p) for k, p in enumerate(pieces)], "k int, p array<struct<text:string,x0:double>>")
     assert [r.t for r in df.select("k", code.rebuild_column(F.col("p")).alias("t")).orderBy("k").collect()] == want
+
+
+def test_texts_are_cleaned_and_cut_a_text_at_a_time(spark):
+    from vellum.functions import text as T
+
+    cases = ["٢ ٣\n1 2 3\n1 3\n7\n12 13ἀ", "a.\x1fB. C\x1f! d", "Plain\tText\nCıode\n●●\nx\t\ty  z\x85​\r\n\n。；q", "A.b. C\n\n\nD", " \n", "", None]
+    want = {  # cleaned by the expressions, cut by the pattern
+        0: "1 3\n7\n12 13ἀ", 1: "a.\x1fB. C\x1f! d", 2: "Cıode\nx y z\n。;q", 3: "A.b. C\nD", 4: "", 5: "", 6: "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string").withColumn("c", T.clean(F.col("t")))
+    lined = F.array_join(F.filter(F.transform(T.lines(T.nfkc(F.col("t"))), T.squeeze), lambda x: ~T.is_noise(x)), "\n")
+    got = df.select("k", "c", lined.alias("by_line"), T.split_sentences(F.col("c")).alias("s"))
+    rows = {r.k: r for r in got.collect()}
+    assert {k: r.c for k, r in rows.items()} == {k: r.by_line for k, r in rows.items()} == want
+    assert rows[1].s == ["a.\x1fB.", "C\x1f!", "d"] and rows[2].s == ["Cıode\nx y z\n。", ";", "q"] and rows[3].s == ["A.b.", "C\nD"] and rows[5].s == []
+    plan = df.select(F.size(T.split_sentences(F.col("c")))).drop("t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "lambda" not in plan  # no interpreted step for each line

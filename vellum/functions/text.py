@@ -6,10 +6,12 @@ Functions take and give columns; a null text counts as empty unless said otherwi
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -134,9 +136,44 @@ def is_noise(c: Column) -> Column:
     return (c == "") | c.rlike(fixed.BULLETS) | c.rlike(_u(fixed.UI_LABEL, "Ui")) | c.rlike(_u(fixed.NUMBER_STRIP)) | is_number_run(c)
 
 
+#: White space as Java's patterns see it, in Python's.
+_JAVA_SPACE = r"[^\S\x1c-\x1f]"
+_LABELS = [re.compile(p.replace(r"\s", _JAVA_SPACE), re.IGNORECASE) for p in (fixed.BULLETS, fixed.UI_LABEL, fixed.NUMBER_STRIP)]
+_RUN = re.compile(fixed.NUMBER_RUN.replace(r"\s", _JAVA_SPACE))
+#: First characters of lines that may be noise, besides digits: bullets and the labels of a viewer.
+_SUSPECT = frozenset(fixed.BULLETS[2:-3] + "PpCcTt复")
+
+
+def _steps_by_one(line: str) -> bool:
+    n = re.split(r"[ \t-\r]+", line)
+    return all(a.isdecimal() and b.isdecimal() and int(b) - int(a) == 1 for a, b in zip(n, n[1:], strict=False))
+
+
+def _says_nothing(line: str) -> bool:
+    """:func:`is_noise` of a normalised line that is not empty. Most lines are told by their first character."""
+    if line[0] not in _SUSPECT and not line[0].isdecimal():
+        return False
+    return any(p.fullmatch(line) for p in _LABELS) or bool(_RUN.fullmatch(line)) and _steps_by_one(line)
+
+
+def _cleaned(text: str | None) -> str:
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+        for ch in fixed.INVISIBLE:
+            text = text.replace(ch, "")
+    if "  " in text or "\t" in text:  # the other white space that is squeezed ends lines
+        text = re.sub(r"[\t ]+", " ", text)
+    return "\n".join(x for x in map(str.strip, text.splitlines()) if x and not _says_nothing(x))
+
+
 def clean(c: Column) -> Column:
-    """Normalised lines without noise."""
-    return F.array_join(F.filter(F.transform(lines(nfkc(c)), squeeze), lambda x: ~is_noise(x)), "\n")
+    """Normalised lines without noise: what :func:`lines`, :func:`squeeze` and :func:`is_noise` give, a text at a time."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_cleaned(x) for x in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, StringType())(c)
 
 
 def count_of(c: Column, characters: str) -> Column:
@@ -210,11 +247,27 @@ def toc_entries(line_array: Column) -> Column:
     return F.size(F.filter(line_array, lambda x: squeeze(x).rlike(_u(fixed.TOC_ENTRY))))
 
 
+#: :data:`fixed.SENTENCE_BOUNDARY` with the sign before it, so that a search goes from sign to sign.
+_BOUNDARY = re.compile(rf"[。！？!?；;.\n](?:(?<=[。！？!?；;]){_JAVA_SPACE}*|(?<=\.){_JAVA_SPACE}+(?=[A-Z0-9])|(?<=\n)\n+)")
+
+
+def _sentences(text: str | None) -> list[str | None]:
+    if text is None or text == "":
+        return [] if text == "" else [None]
+    out, at = [], 0
+    for m in _BOUNDARY.finditer(text):
+        out.append(text[at : m.start() + 1].strip())
+        at = m.end()
+    return [x for x in (*out, text[at:].strip()) if x] or [text]
+
+
 def split_sentences(c: Column) -> Column:
     """Sentences of a cleaned text; the text itself where none is found."""
-    cut = lambda s: F.filter(F.transform(F.split(s, f"(?U){fixed.SENTENCE_BOUNDARY}", -1), strip), lambda x: x != "")
-    some = lambda s: let(cut(s), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(s)))
-    return let(c, lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(some(s)))
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_sentences(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(c)
 
 
 def stable_id(prefix: str, *parts: Column, length: int = 24) -> Column:
