@@ -128,3 +128,21 @@ def test_texts_are_cleaned_and_cut_a_text_at_a_time(spark):
     assert rows[1].s == ["a.\x1fB.", "C\x1f!", "d"] and rows[2].s == ["Cıode\nx y z\n。", ";", "q"] and rows[3].s == ["A.b.", "C\nD"] and rows[5].s == []
     plan = df.select(F.size(T.split_sentences(F.col("c")))).drop("t")._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and "lambda" not in plan  # no interpreted step for each line
+
+
+def test_heading_paths_sort_a_document_once(spark):
+    from vellum.operators import structure
+
+    rows = [  # document, page, epoch, y0, text, level
+        ("d", 1, 0, 0.0, "body", None), ("d", 1, 0, 1.0, "A", 1), ("d", 1, 0, 2.0, "B", 3), ("d", 1, 0, 3.0, "a ", 2), ("d", 1, 0, 4.0, "b", None), ("d", 1, 0, 5.0, "A", 2), ("d", 1, 0, 6.0, "c", None),
+        ("d", 2, 1, 0.0, "A", 4), ("d", 2, 1, 1.0, "d", None), ("d", 3, 2, 0.0, "e", None), ("f", 1, 0, 0.0, "g", None),
+    ]
+    e = spark.createDataFrame(rows, "document_id string, page_number int, epoch long, y0 double, text string, heading_level int")
+    e = e.selectExpr("*", "0.0D AS x0", "false AS is_table", "CAST(y0 AS INT) AS no", "heading_level IS NOT NULL AS heading")
+    order = structure.Window.partitionBy("document_id").orderBy("page_number", "y0", "x0", "is_table", "no")
+    placed = structure.heading_paths(e.withColumn("pos", F.row_number().over(order))).select("document_id", "text", "section_seq", "heading_path", "title")
+    assert {(r.document_id, r.text): (r.section_seq, r.heading_path, r.title) for r in placed.collect()} == {
+        ("d", "body"): (0, [], "文档正文"), ("d", "b"): (3, ["A", "a"], "a"), ("d", "c"): (3, ["A", "a"], "a"), ("d", "d"): (4, ["A"], "A"), ("d", "e"): (5, [], "文档正文"), ("f", "g"): (0, [], "文档正文"),
+    }
+    plan = placed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 1  # not again for epochs and positions

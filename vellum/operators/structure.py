@@ -21,6 +21,8 @@ from vellum.operators.folds import by_group, late
 from vellum.operators.layout import PAGE
 
 LEVELS = range(1, 7)
+#: The order in which the elements of a document are read.
+READING = ["page_number", "y0", "x0", "is_table", "no"]
 UNIT = (
     "unit_id string, document_id string, section_seq long, unit_seq long, kind string, text string, page_start int, page_end int, heading_path array<string>, protected boolean, group_id string, "
     "x0 double, y0 double, x1 double, y1 double, font_size double, page_height double, page_role string, index_enabled boolean, demoted boolean, rows array<array<string>>, merged_unit_ids array<string>"
@@ -52,25 +54,30 @@ def elements(blocks: DataFrame, tables: DataFrame, pages: DataFrame, config: Par
     b = blocks.select(*PAGE, "x0", "y0", "x1", "y1", F.lit(False).alias("is_table"), F.col("block_no").alias("no"), "text", "avg_font_size", "monospace", "heading_level", "heading_source", F.lit(None).cast("array<array<string>>").alias("rows"))
     t = tables.select(*PAGE, "x0", "y0", "x1", "y1", F.lit(True).alias("is_table"), F.col("table_index").alias("no"), F.col("markdown").alias("text"), F.lit(None).cast("double").alias("avg_font_size"), F.lit(False).alias("monospace"), F.lit(None).cast("int").alias("heading_level"), F.lit(None).cast("string").alias("heading_source"), "rows")
     both = b.unionByName(t).join(p, PAGE)
-    order = Window.partitionBy("document_id").orderBy("page_number", "y0", "x0", "is_table", "no")
+    order = Window.partitionBy("document_id").orderBy(*READING)
     return both.withColumn("heading", accept_heading(config)).withColumn("pos", F.row_number().over(order))
 
 
 def heading_paths(e: DataFrame) -> DataFrame:
     """``e`` with ``heading_path, title, section_seq``; repeated headings and heading rows themselves are left out.
 
-    ``section_seq`` counts headings and epochs that begin, so rows between two of them share it.
+    ``section_seq`` counts headings and epochs that begin, so rows between two of them share it. All windows keep the
+    order of ``pos``, so a document is sorted once; epochs follow each other in it, so what is carried forward names its
+    epoch and counts no longer in the next one.
     """
-    within = Window.partitionBy("document_id", "epoch").orderBy("pos")
+    by = Window.partitionBy("document_id").orderBy(*READING)
     title = T.squeeze(F.col("text"))
     canon = F.lower(F.regexp_replace(title, r"(?U)\s+", ""))
-    marked = e.withColumn("__canon", F.when(F.col("heading"), canon))
-    last = F.last("__canon", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
-    marked = marked.withColumn("__repeat", F.col("heading") & (last == F.col("__canon")))
-    marked = marked.withColumn("__new", F.col("heading") & ~F.coalesce("__repeat", F.lit(False)))
+    last = F.last(F.when(F.col("heading"), F.struct("epoch", canon.alias("canon"))), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = e.withColumns({"__last": last, "__before": F.lag("epoch", 1, 0).over(by)})
+    repeated = (F.col("__last.epoch") == F.col("epoch")) & (F.col("__last.canon") == canon)
+    marked = marked.withColumn("__new", F.col("heading") & ~F.coalesce(repeated, F.lit(False))).drop("__last")
     level = F.least(F.greatest("heading_level", F.lit(1)), F.lit(6))
-    carried = within.rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumns({f"__l{k}": F.last(F.when(F.col("__new") & (level == k), F.struct("pos", title.alias("title"))), ignorenulls=True).over(carried) for k in LEVELS})
+    carried = by.rowsBetween(Window.unboundedPreceding, 0)
+    held = {f"__l{k}": F.when(F.col("__new") & (level == k), F.struct("epoch", "pos", title.alias("title"))) for k in LEVELS} | {"__newest": F.when(F.col("__new"), F.struct("epoch", title.alias("title")))}
+    begins = (F.col("__new") | (F.col("epoch") != F.col("__before"))).cast("long")
+    marked = marked.withColumns({name: F.last(x, ignorenulls=True).over(carried) for name, x in held.items()} | {"section_seq": F.sum(begins).over(carried)})
+    marked = marked.withColumns({name: F.when(F.col(name).epoch == F.col("epoch"), F.col(name)) for name in held})
     on_path = []
     for k in LEVELS:
         here = F.col(f"__l{k}")
@@ -78,10 +85,7 @@ def heading_paths(e: DataFrame) -> DataFrame:
         for j in range(1, k):
             newer = newer & (F.col(f"__l{j}").isNull() | (F.col(f"__l{j}.pos") < here.pos))
         on_path.append(F.when(here.isNotNull() & newer, here.title))
-    newest = F.last(F.when(F.col("__new"), title), ignorenulls=True).over(carried)
-    ordered = Window.partitionBy("document_id").orderBy("pos")
-    begins = F.col("__new") | (F.col("epoch") != F.lag("epoch", 1, 0).over(ordered))
-    marked = marked.withColumn("__begins", begins.cast("long")).withColumn("section_seq", F.sum("__begins").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    newest = F.col("__newest.title")
     marked = marked.withColumn("heading_path", F.array_compact(F.array(*on_path))).withColumn("title", F.coalesce(newest, F.lit(fixed.DEFAULT_TITLE)))
     return marked.where("NOT heading").drop(*[c for c in marked.columns if c.startswith("__")])
 
