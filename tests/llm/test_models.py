@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -90,6 +91,33 @@ def test_exchange_raises_mutual_information():
     assert np.allclose(rebuilt, table)
 
 
+def test_words_travel_together(spark, monkeypatch):
+    """No table between the steps has a row per word: only one per block and shard, whatever the number of words."""
+    rng = random.Random(3)
+    texts = [(k, " ".join(f"w{rng.randrange(900)}" for _ in range(100))) for k in range(300)]
+    for name, value in {"BLOCK_TOKENS": 4000, "SHARD_TOKENS": 3000, "SLOTS": 60}.items():
+        monkeypatch.setattr(brown_lm, name, value, raising=False)
+    rows, table = {}, brown_lm.common.table
+
+    def spy(df, path):
+        out = table(df, path)
+        rows[path.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    monkeypatch.setattr(brown_lm.common, "table", spy)
+    got = {r.doc_id: r for r in brown_lm.perplexity_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    blocks, shards = rows.pop("blocks"), 300 * 101 // 3000
+    assert blocks >= 4 and rows.pop("scores") == 300
+    assert max(rows.values()) <= (blocks + 1) * (shards + 1)
+    train = Counter(w for k, t in texts if zlib.crc32(str(k).encode()) % 5 != 1 for w in [*t.split(), ""])
+    n, v = train.total(), len(train)
+    for k, t in texts:
+        words = [*t.split(), ""]
+        assert (got[k].n_known, got[k].train_tokens) == (sum(train[w] > 0 for w in words), n)
+        assert abs(got[k].base_score - sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)) < 1e-6
+    assert all(-400 < r.score < -200 for r in got.values())
+
+
 def brute(text):
     words = WORD.findall(text)
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
